@@ -215,8 +215,8 @@ def send_places(docs: Texts, doc: np.ndarray, place: np.ndarray, n: int, kind: i
     yield from send_places_of(docs.ids[doc], docs.tags[doc], place, n, kind)
 
 
-def send_places_of(ids: np.ndarray, tags: np.ndarray, place: np.ndarray, n: int, kind: int) -> Iterator[tuple[int, int, bytes]]:
-    """As send_places, with the id and tag of each place; the places of a document stand together, rising."""
+def send_places_of(ids: np.ndarray, tags: np.ndarray, place: np.ndarray, n: int, kind: int, extra: np.ndarray | None = None) -> Iterator[tuple[int, int, bytes]]:
+    """As send_places, with the id and tag of each place, and a small number for each if ``extra`` is given; the places of a document stand together, rising."""
     if not len(ids):
         return
     starts = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])])
@@ -228,7 +228,7 @@ def send_places_of(ids: np.ndarray, tags: np.ndarray, place: np.ndarray, n: int,
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         own = by[a:b]
         at = ranges(starts[own], counts[own])
-        yield int(groups[own[0]]), kind, pack(ids[starts[own]], tags[starts[own]], counts[own].astype(np.uint32), deltas[at])
+        yield int(groups[own[0]]), kind, pack(ids[starts[own]], tags[starts[own]], counts[own].astype(np.uint32), deltas[at], *([] if extra is None else [extra[at].astype(np.uint32)]))
 
 
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -247,22 +247,23 @@ class Places:
         self.got: list[list[np.ndarray]] = []
 
     def add(self, payload: bytes) -> None:
-        ids, tags, counts, deltas = unpack(payload)
+        ids, tags, counts, deltas, *extra = unpack(payload)
         starts = np.cumsum(counts, dtype=np.int64) - counts
-        self.got.append([np.repeat(ids, counts), np.repeat(tags, counts), unsteps(deltas.astype(np.int64), starts, counts)])
+        self.got.append([np.repeat(ids, counts), np.repeat(tags, counts), unsteps(deltas.astype(np.int64), starts, counts), *extra])
 
     def close(self) -> None:
         cols = [np.concatenate(c) for c in zip(*self.got, strict=True)] if self.got else [np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)]
         order = np.lexsort((cols[2], cols[1], cols[0]))
-        ids, tags, self.place = (c[order] for c in cols)
+        ids, tags, self.place, *extra = (c[order] for c in cols)
+        self.extra = extra[0] if extra else np.zeros(0, np.uint32)
         starts = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])]) if len(ids) else np.zeros(0, np.int64)
         ends = np.r_[starts[1:], len(ids)] if len(ids) else starts
         self.where = {(int(i), int(t)): (int(a), int(b)) for i, t, a, b in zip(ids[starts], tags[starts], starts, ends, strict=True)}
         self.got = []
 
-    def of(self, doc_id: int, tag: int) -> np.ndarray:
+    def of(self, doc_id: int, tag: int, extra: bool = False):
         a, b = self.where.get((int(doc_id), int(tag)), (0, 0))
-        return self.place[a:b]
+        return (self.place[a:b], self.extra[a:b].astype(np.int64)) if extra else self.place[a:b]
 
 
 def by_part(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:

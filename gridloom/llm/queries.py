@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.simhash import simhash_near_duplicates
 from gridloom.llm.substring_dedup import substring_dedup
+from gridloom.llm.suffix_dedup import suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"), length=50).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_distance=3)
 
@@ -23,6 +28,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_simhash_near_dup": op2_simhash_near_dup,
     "op4_substring_dedup": op4_substring_dedup,
 }

@@ -129,14 +129,14 @@ def settle(batches, n: int):
         yield c.blob_batch(rows)
 
 
-def with_places(places: DataFrame, docs: DataFrame, n: int, finish, schema: str) -> DataFrame:
+def with_places(places: DataFrame, docs: DataFrame, n: int, finish, schema: str, places_kind: int = _PLACES) -> DataFrame:
     """Deals places and texts by doc_id and hands ``finish`` each flush of texts with the places of its documents."""
     both = c.exchange(places.unionByName(c.text_blobs(docs, n, _TEXTS)), n).sortWithinPartitions("kind")
 
     def run(batches):
         places, closed = c.Places(), False
         for _, kind, payload in c.by_part(batches):
-            if kind == _PLACES:
+            if kind == places_kind:
                 places.add(payload)
             else:
                 if not closed:
