@@ -69,8 +69,10 @@ def window_runs(texts: c.Texts, length: int) -> tuple[np.ndarray, np.ndarray, np
         return e, e, e, e.view(_U64)
     edge = np.zeros(total, bool)
     edge[offsets[:-1][own > 0]] = True
-    valid = np.zeros(total, bool)
-    valid[c.ranges(offsets[:-1], own)] = True
+    change = np.zeros(total + 1, np.int8)
+    change[offsets[:-1][own > 0]] += 1
+    change[(offsets[:-1] + own)[own > 0]] -= 1
+    valid = np.cumsum(change[:-1], dtype=np.int8).view(bool)
     starts, keys = [], []
     for a in range(0, total, _BLOCK):
         b, back = min(a + _BLOCK, total), min(a, 1)
