@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task handles at once; the largest of its arrays has eight bytes for each of them.
-FLUSH_BYTES = 12 << 20
+FLUSH_BYTES = 8 << 20
 BLOB_SCHEMA = "part int, kind int, payload binary"
 BLOB = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 #: A null doc_id sorts after every other.
@@ -197,6 +197,18 @@ def received_texts(payload: bytes) -> Texts:
     return Texts(ids, np.concatenate([[0], np.cumsum(lengths)]), data, tags)
 
 
+def joined_texts(parts: list[Texts]) -> Texts:
+    """The documents of some flushes as one, by rising doc_id."""
+    if len(parts) == 1:
+        return parts[0]
+    ids, tags = np.concatenate([t.ids for t in parts]), np.concatenate([t.tags for t in parts])
+    bodies = [t.body(i) for t in parts for i in range(len(t))]
+    order = np.argsort(ids, kind="stable")
+    data = np.frombuffer(b"".join([bodies[i] for i in order.tolist()]), np.uint8)
+    lengths = np.array([len(bodies[i]) for i in order.tolist()], np.int64)
+    return Texts(ids[order], np.r_[0, np.cumsum(lengths)], data, tags[order])
+
+
 def text_blobs(docs: DataFrame, n: int, kind: int = 9) -> DataFrame:
     """The documents of ``text_rows`` as blob rows, dealt by doc_id."""
 

@@ -133,15 +133,21 @@ def with_places(places: DataFrame, docs: DataFrame, n: int, finish, schema: str,
     both = c.exchange(places.unionByName(c.text_blobs(docs, n, _TEXTS)), n).sortWithinPartitions("kind")
 
     def run(batches):
-        places, closed = c.Places(), False
+        places, closed, kept, size = c.Places(), False, [], 0
         for _, kind, payload in c.by_part(batches):
             if kind == places_kind:
                 places.add(payload)
-            else:
-                if not closed:
-                    places.close()
-                    closed = True
-                yield from finish(c.received_texts(payload), places)
+                continue
+            if not closed:
+                places.close()
+                closed = True
+            kept.append(c.received_texts(payload))
+            size += len(kept[-1].data)
+            if size >= c.FLUSH_BYTES:
+                yield from finish(c.joined_texts(kept), places)
+                kept, size = [], 0
+        if kept:
+            yield from finish(c.joined_texts(kept), places)
 
     return both.mapInArrow(run, schema)
 
