@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pre-tokens whose ids a worker remembers; then it starts anew.
-MEMO = 250_000
+MEMO = 1_000_000
 _U64 = np.uint64
 
 
@@ -161,32 +162,26 @@ class BytePairEncoder:
 
     def _pair(self, a: int, b: int) -> int:
         r = self.hash.find([self.token[a] + self.token[b]])[0]
-        if len(self.pairs) >= 4 * MEMO:
+        if len(self.pairs) >= MEMO:
             self.pairs.clear()
         self.pairs[a << 24 | b] = r
         return r
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
-        out = []
-        for text in texts:
-            pieces = self.split(text)
-            memo = self.memo
-            try:
-                out.append(b"".join([memo[p] for p in pieces]))
-            except KeyError:
-                self._learn(pieces)
-                out.append(b"".join([self.memo[p] for p in pieces]))
-        return out
-
-    def _learn(self, pieces: list[str]) -> None:
+        pieces = [self.split(text) for text in texts]
+        distinct: set[str] = set()
+        for own in pieces:
+            distinct.update(own)
         if len(self.memo) >= MEMO:
             self.memo = {}
         memo = self.memo
-        new = list({p for p in pieces if p not in memo})
+        new = [p for p in distinct if p not in memo]
         raw = [p.encode() for p in new]
         for p, b, r in zip(new, raw, self.hash.find(raw), strict=True):
-            memo[p] = r.to_bytes(4, "little") if r >= 0 else np.array(self.merge(b), "<u4").tobytes()
+            memo[p] = r.to_bytes(4, "little") if r >= 0 else array("I", self.merge(b)).tobytes()
+        get = memo.__getitem__
+        return [b"".join(map(get, own)) for own in pieces]
 
     def decode(self, ids: bytes) -> bytes:
         token = self.token
