@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridloom.llm.byte_bpe import encode_digests
 from gridloom.llm.media import media_digests
+from gridloom.llm.pii import pii
 from gridloom.llm.simhash import simhash_near_duplicates
 from gridloom.llm.substring_dedup import substring_dedup
 from gridloom.llm.suffix_dedup import suffix_dedup
@@ -29,6 +31,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), window=13).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op6_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii(table(spark, sf_dir, "documents"), with_text=False)
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op9_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
@@ -43,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_simhash_near_dup": op2_simhash_near_dup,
     "op4_substring_dedup": op4_substring_dedup,
+    "op6_pii_crf": op6_pii_crf,
     "op9_media_jpeg": op9_media_jpeg,
     "op10_byte_bpe": op10_byte_bpe,
 }
