@@ -13,6 +13,7 @@ from gridloom.llm.pii import pii
 from gridloom.llm.simhash import simhash_near_duplicates
 from gridloom.llm.substring_dedup import substring_dedup
 from gridloom.llm.suffix_dedup import suffix_dedup
+from gridloom.llm.url_filter import BAD_HOST_WORDS, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,20 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), window=13).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+#: The rules of the query.
+URL_RULES = (
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+)
+
+
+def op5_url_template_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii(table(spark, sf_dir, "documents"), with_text=False)
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
@@ -50,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_simhash_near_dup": op2_simhash_near_dup,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_url_template_filter": op5_url_template_filter,
     "op6_pii_crf": op6_pii_crf,
     "op9_media_jpeg": op9_media_jpeg,
     "op10_byte_bpe": op10_byte_bpe,
@@ -57,6 +73,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
 
+
+
+def _url_sql(depth: int = 4) -> str:
+    fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, kind) for kind, h, p in sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))]
+    rule = "CASE " + " ".join(f"WHEN {f} THEN '{r}'" for f, r, _ in fits) + " END"
+    by_rule = "CASE " + " ".join(f"WHEN {f} THEN '{k}'" for f, _, k in fits) + " END"
+    words = ", ".join(f"'{w}'" for w in BAD_HOST_WORDS)
+    sql = f"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+ h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+ p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+ r AS (SELECT *, {rule} AS rule, {by_rule} AS by_rule, regexp_replace(regexp_replace(regexp_replace(path, '[0-9a-f]{{16,}}', '#', 'g'), '[0-9]+', '#', 'g'), '[^/]{{33,}}', '~', 'g') AS form FROM p),
+ l AS (SELECT *, CASE WHEN by_rule = 'block' THEN 1 WHEN by_rule = 'allow' THEN 0 WHEN list_has_any(regexp_split_to_array(host, '[.-]'), [{words}]) THEN 1 END AS label FROM r),
+ t0 AS (SELECT host, form, '' AS template, string_split(form, '/') AS segs, count(*) AS pages, count(label) AS labelled, coalesce(sum(label), 0) AS bad FROM l GROUP BY host, form)"""
+    for k in range(1, depth + 1):
+        sql += f""",
+ s{k} AS (SELECT *, CASE WHEN len(segs) > {k} THEN segs[{k + 1}] END AS seg FROM t{k - 1}),
+ n{k} AS (SELECT host, template, seg, sum(pages) AS n, sum(labelled) AS ln, sum(bad) AS lb FROM s{k} WHERE seg IS NOT NULL GROUP BY ALL),
+ w{k} AS (SELECT host, template, sum(n) AS an, sum(ln) AS al, sum(lb) AS ab FROM n{k} GROUP BY ALL),
+ m{k} AS (SELECT n.host, n.template, seg, CASE WHEN n >= 4 AND n >= an * 0.02 AND NOT (ln > 0 AND al > ln AND (ab = 0 OR ab = al OR
+   power(lb::DOUBLE / ln - (ab - lb)::DOUBLE / (al - ln), 2) / ((ab::DOUBLE / al) * (1 - ab::DOUBLE / al) * (1.0 / ln + 1.0 / (al - ln))) < 3.84)) THEN seg ELSE '*' END AS name
+   FROM n{k} n JOIN w{k} w ON n.host = w.host AND n.template = w.template),
+ t{k} AS (SELECT s.host, s.form, CASE WHEN s.seg IS NULL THEN s.template ELSE s.template || '/' || m.name END AS template, segs, pages, labelled, bad
+   FROM s{k} s LEFT JOIN m{k} m ON s.host = m.host AND s.template = m.template AND s.seg = m.seg)"""
+    return sql + f""",
+ f AS (SELECT host, form, CASE WHEN len(segs) > {depth + 1} THEN template || '/**' ELSE template END AS template, labelled, bad FROM t{depth}),
+ g AS (SELECT host, template, (sum(bad) + 1) / (sum(labelled) + 2) AS purity FROM f GROUP BY ALL)
+SELECT page_id, r.host, path, rule, coalesce(by_rule, CASE WHEN purity >= 0.7 THEN 'block' ELSE 'allow' END) AS verdict
+FROM r JOIN f ON r.host = f.host AND r.form = f.form JOIN g ON f.host = g.host AND f.template = g.template
+"""
+
+
 ORACLE: dict[str, str] = {
     "op4_substring_dedup": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -70,4 +118,5 @@ WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN a ON d.doc_id = a.doc_id
 """,
+    "op5_url_template_filter": _url_sql(),
 }
