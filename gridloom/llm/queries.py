@@ -13,6 +13,7 @@ from gridloom.llm.pii import pii
 from gridloom.llm.simhash import simhash_near_duplicates
 from gridloom.llm.substring_dedup import substring_dedup
 from gridloom.llm.suffix_dedup import suffix_dedup
+from gridloom.llm.toxicity import held_out, teaching, toxicity
 from gridloom.llm.url_filter import BAD_HOST_WORDS, url_filter
 
 
@@ -51,6 +52,11 @@ def op6_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op8_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(table(spark, sf_dir, "documents"), teaching(table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_url_template_filter": op5_url_template_filter,
     "op6_pii_crf": op6_pii_crf,
+    "op8_toxicity_knn": op8_toxicity_knn,
     "op9_media_jpeg": op9_media_jpeg,
     "op10_byte_bpe": op10_byte_bpe,
 }
