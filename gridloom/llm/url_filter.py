@@ -71,6 +71,7 @@ def templates(forms: DataFrame, depth: int = 4, min_pages: int = 4, min_share: f
         literal = (F.col("n") >= min_pages) & (F.col("n") >= F.col("an") * min_share) & ~same
         names = node.join(whole, ["host", "template"]).select("host", "template", "seg", F.when(literal, F.col("seg")).otherwise(F.lit("*")).alias("name"))
         t = t.join(names, ["host", "template", "seg"], "left").withColumn("template", F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name"))).drop("seg", "name")
+        t = checkpoint(t)
     t = t.withColumn("template", F.when(F.size("segs") > depth + 1, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
     total = t.groupBy("host", "template").agg(F.sum("labelled").alias("of_labelled"), F.sum("bad").alias("of_bad"))
     return t.select("host", "form", "template").join(total, ["host", "template"]).select("host", "form", "template", F.col("of_labelled").alias("labelled"), F.col("of_bad").alias("bad"))
