@@ -4,7 +4,8 @@
 2. The terms: words whose share of toxic contexts is significantly high (G squared, one-sided).  A document has
    one context for each of its words: the word with a word before it (of several, that of the smallest hash).  Equal
    contexts count once, so neither copies of a passage nor repeats in one document add up.
-3. Document frequencies of the terms over all documents.
+3. Document frequencies of the terms over all documents.  A further term says how large a share of a document's words
+   are terms, so that one chance word in a long text is not like an example full of them.
 4. The index: examples in blocks; for each term and block the largest weight.  A document's nearest examples are found
    exactly: blocks come by rising bound, and the search ends when no block left can reach the k-th best.
 5. Votes weighted by nearness, with a prior, calibrated on the examples themselves, each left out of its own vote
@@ -78,31 +79,45 @@ def select_terms(examples: DataFrame, max_terms: int, significance: float) -> np
     return np.sort(np.array([r.w for r in found.collect()], np.int64).view(_U64))
 
 
+#: Shares of a document's words that are terms, which part its density term from the next.
+DENSITIES = np.array([0.002, 0.004, 0.008, 0.016, 0.032])
+
+
+def width(terms: np.ndarray) -> int:
+    """The number of dimensions: the terms and the density terms."""
+    return len(terms) + len(DENSITIES) + 1
+
+
 def _counts(terms: np.ndarray, n_docs: int, h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, term, times) of the terms in some documents, by document and term."""
+    """(document, term, times) of the terms in some documents, by document and term.
+
+    A document that has any terms has one density term more, after all others: how large a share of its words they are.
+    """
     if not len(terms) or not len(h):
         e = np.zeros(0, np.int64)
         return e, e, e
     at = np.searchsorted(terms, h)
     hit = np.flatnonzero(terms[np.minimum(at, len(terms) - 1)] == h)
     doc = np.searchsorted(np.cumsum(counts), hit, side="right")
-    key, times = np.unique(doc * len(terms) + at[hit], return_counts=True)
-    return key // len(terms), key % len(terms), times
+    own, many = np.unique(doc, return_counts=True)
+    density = len(terms) + np.searchsorted(DENSITIES, many / counts[own], side="right")
+    key, times = np.unique(np.r_[doc * width(terms) + at[hit], own * width(terms) + density], return_counts=True)
+    return key // width(terms), key % width(terms), times
 
 
 def document_frequencies(rows: DataFrame, terms: np.ndarray) -> tuple[int, np.ndarray]:
     """(documents, documents with each term) over all rows (doc_id, body)."""
 
     def run(batches):
-        total, df = 0, np.zeros(len(terms), np.int64)
+        total, df = 0, np.zeros(width(terms), np.int64)
         for part, offsets, data in _flushed(batches):
             _, term, _ = _counts(terms, len(part), *term_hashes(np.arange(len(part)), offsets, data))
-            df += np.bincount(term, minlength=len(terms))
+            df += np.bincount(term, minlength=width(terms))
             total += len(part)
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some]), pa.array(np.r_[total, df[some]])], names=["term", "n"])
 
-    df, total = np.zeros(len(terms), np.int64), 0
+    df, total = np.zeros(width(terms), np.int64), 0
     for r in rows.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         if r.term < 0:
             total = r.n
