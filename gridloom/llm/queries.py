@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.byte_bpe import encode_digests
 from gridloom.llm.media import media_digests
+from gridloom.llm.neighbours import nearest
 from gridloom.llm.pii import pii
 from gridloom.llm.simhash import simhash_near_duplicates
 from gridloom.llm.substring_dedup import substring_dedup
@@ -29,6 +30,10 @@ def op2_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_distance=3)
 
 
+def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), window=13).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -70,6 +75,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_simhash_near_dup": op2_simhash_near_dup,
+    "op3_nn_descent": op3_nn_descent,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_url_template_filter": op5_url_template_filter,
     "op6_pii_crf": op6_pii_crf,
