@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import struct
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,6 +18,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that a task handles at once; the largest of its arrays has eight bytes for each of them.
 FLUSH_BYTES = 8 << 20
@@ -40,9 +42,28 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def text_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id long, body binary): null texts are empty; other columns are dropped, whatever their names."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
+def text_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *more) -> DataFrame:
+    """(doc_id long, body binary, ``more``): null texts are empty; other columns are dropped, whatever their names."""
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"), *more)
+
+
+def whole_row(docs: DataFrame, name: str = "row"):
+    """The row's columns as one struct, to be carried through an operator, and the struct's field."""
+    return F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias(name), T.StructField(name, docs.schema)
+
+
+def schema_of(ddl: str, *more: T.StructField) -> T.StructType:
+    return T.StructType([*T.StructType.fromDDL(ddl).fields, *more])
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes a DataFrame as Parquet into a new folder of the shared checkpoint folder and reads it again."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gridloom-"))
+    path = f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def exchange(df: DataFrame, n: int) -> DataFrame:
@@ -133,10 +154,10 @@ def binary_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Texts:
-    """Documents of one flush, by rising doc_id: ids, tags (of the texts, so that rows that share an id stay apart), offsets, bytes."""
+    """Documents of one flush, by rising doc_id: ids, tags (of the texts, so that rows that share an id stay apart), offsets, bytes, and a note that goes along with each if there are any."""
 
-    def __init__(self, ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, tags: np.ndarray | None = None):
-        self.ids, self.offsets, self.data = ids, offsets, data
+    def __init__(self, ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, tags: np.ndarray | None = None, notes: list[bytes] | None = None):
+        self.ids, self.offsets, self.data, self.notes = ids, offsets, data, notes
         self.tags = tag_of(self) if tags is None else tags
 
     def __len__(self) -> int:
@@ -179,7 +200,8 @@ def _joined(batches: list[pa.RecordBatch]) -> Texts:
     order = np.argsort(ids, kind="stable")
     if (order[1:] < order[:-1]).any():
         ids, body = ids[order], body.take(pa.array(order))
-    return Texts(ids, *binary_parts(body))
+    notes = [x.as_py() for x in table.column(2).combine_chunks().take(pa.array(order))] if table.num_columns > 2 else None
+    return Texts(ids, *binary_parts(body), notes=notes)
 
 
 def send_texts(texts: Texts, n: int, kind: int) -> Iterator[tuple[int, int, bytes]]:
@@ -189,12 +211,20 @@ def send_texts(texts: Texts, n: int, kind: int) -> Iterator[tuple[int, int, byte
     for g in np.unique(groups):
         at = np.flatnonzero(groups == g)
         body = b"".join(texts.body(i) for i in at)
-        yield int(g), kind, pack(texts.ids[at], texts.tags[at], lengths[at], np.frombuffer(body, np.uint8))
+        notes = []
+        if texts.notes is not None:
+            own = [texts.notes[i] for i in at]
+            notes = [np.array([len(x) for x in own], np.int64), np.frombuffer(b"".join(own), np.uint8)]
+        yield int(g), kind, pack(texts.ids[at], texts.tags[at], lengths[at], np.frombuffer(body, np.uint8), *notes)
 
 
 def received_texts(payload: bytes) -> Texts:
-    ids, tags, lengths, data = unpack(payload)
-    return Texts(ids, np.concatenate([[0], np.cumsum(lengths)]), data, tags)
+    ids, tags, lengths, data, *more = unpack(payload)
+    notes = None
+    if more:
+        raw, cuts = more[1].tobytes(), np.r_[0, np.cumsum(more[0])].tolist()
+        notes = [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    return Texts(ids, np.concatenate([[0], np.cumsum(lengths)]), data, tags, notes)
 
 
 def joined_texts(parts: list[Texts]) -> Texts:
@@ -206,7 +236,8 @@ def joined_texts(parts: list[Texts]) -> Texts:
     order = np.argsort(ids, kind="stable")
     data = np.frombuffer(b"".join([bodies[i] for i in order.tolist()]), np.uint8)
     lengths = np.array([len(bodies[i]) for i in order.tolist()], np.int64)
-    return Texts(ids[order], np.r_[0, np.cumsum(lengths)], data, tags[order])
+    notes = [x for t in parts for x in t.notes] if parts[0].notes is not None else None
+    return Texts(ids[order], np.r_[0, np.cumsum(lengths)], data, tags[order], notes and [notes[i] for i in order.tolist()])
 
 
 def text_blobs(docs: DataFrame, n: int, kind: int = 9) -> DataFrame:

@@ -379,12 +379,12 @@ def redact(text: str, spans: list[Span]) -> str:
     return "".join(out) + text[at:]
 
 
-def pii(docs: DataFrame, field: Field | None = None, doc_id: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
+def pii(docs: DataFrame, field: Field | None = None, doc_id: str = "doc_id", text: str = "text", with_text: bool = True, with_row: bool = False) -> DataFrame:
     """Finds personal data: doc_id, n_email, n_ip, n_card, n_phone (base spans), base and spans (``kind:start:end``, comma-joined), redacted (the text with each span as <kind>).
 
     Offsets are in code points, ends exclusive.  Null texts count as empty, and texts without any digit, @ or + have no
     spans.  Repeated rows and rows without doc_id are kept; other columns are ignored, whatever their names.
-    ``with_text`` leaves out redacted if false.
+    ``with_text`` leaves out redacted if false; ``with_row`` adds the row itself as a struct.
     """
     field = field or default_field()
     kinds = {**{f"n_{k}": pa.int64() for k in BASE_KINDS}, "base": pa.string(), "spans": pa.string(), **({"redacted": pa.string()} if with_text else {})}
@@ -404,7 +404,8 @@ def pii(docs: DataFrame, field: Field | None = None, doc_id: str = "doc_id", tex
                 cols["base"][i], cols["spans"][i] = listed(base), listed(spans)
                 if with_text:
                     cols["redacted"][i] = redact(t, spans)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(cols[k], t) for k, t in kinds.items())], names=["doc_id", *kinds])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(cols[k], t) for k, t in kinds.items()), *(batch.column(i) for i in range(2, batch.num_columns))], names=["doc_id", *kinds, *batch.schema.names[2:]])
 
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string" + (", redacted string" if with_text else "")
-    return c.text_rows(docs, text, doc_id).mapInArrow(run, schema)
+    row, own = c.whole_row(docs)
+    return c.text_rows(docs, text, doc_id, *([row] if with_row else [])).mapInArrow(run, c.schema_of(schema, *([own] if with_row else [])))

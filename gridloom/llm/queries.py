@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.byte_bpe import encode_digests
 from gridloom.llm.media import media_digests
 from gridloom.llm.neighbours import nearest
+from gridloom.llm.packing import best_fit
 from gridloom.llm.pii import pii
 from gridloom.llm.simhash import simhash_near_duplicates
 from gridloom.llm.substring_dedup import substring_dedup
@@ -57,6 +58,10 @@ def op6_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit(table(spark, sf_dir, "documents"), capacity=2048)
+
+
 def op8_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity(table(spark, sf_dir, "documents"), teaching(table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_url_template_filter": op5_url_template_filter,
     "op6_pii_crf": op6_pii_crf,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op8_toxicity_knn": op8_toxicity_knn,
     "op9_media_jpeg": op9_media_jpeg,
     "op10_byte_bpe": op10_byte_bpe,

@@ -16,11 +16,13 @@ partitions); at 30 GB of input the chance that any two different windows meet is
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from gridloom.llm import _common as c
 
@@ -180,11 +182,25 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
-def substring_dedup(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def without(body: bytes, mask: np.ndarray) -> bytes:
+    """The text without the words that are set in mask, and without the white space after each; the rest as it was."""
+    out, at = [], 0
+    spans = [m.span() for m in _WORD.finditer(body)]
+    for a, b in zip(*runs(mask), strict=True):
+        out.append(body[at : spans[a][0]])
+        at = spans[b][0] if b < len(spans) else len(body)
+    return b"".join(out) + body[at:]
+
+
+def substring_dedup(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str = "text", note: Column | None = None) -> DataFrame:
     """Removes repeated windows of words.
 
     Returns one row for each row of ``docs``: doc_id, n_words, n_removed, removed (maximal intervals of word numbers, end
-    exclusive), kept (text: the words left, joined by one space), kept_sha256.
+    exclusive), kept (text: the words left, joined by one space), kept_sha256, left (the text as it was, without the
+    removed words), note (a string of the row that goes along, if asked for).
 
     Null texts count as empty and give empty results; a null doc_id sorts after every other, so that its words can be
     removed but remove nobody's.  Rows that share a doc_id don't affect each other.  Empty tables give empty results;
@@ -194,22 +210,30 @@ def substring_dedup(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", t
     n = c.partitions(docs.sparkSession)
 
     def finish(texts: c.Texts, places: c.Places):
-        out: dict[str, list] = {k: [] for k in ("n_words", "n_removed", "removed", "kept", "kept_sha256")}
+        out: dict[str, list] = {k: [] for k in ("n_words", "n_removed", "removed", "kept", "kept_sha256", "left")}
         for i in range(len(texts)):
-            words = texts.body(i).split()
+            body = texts.body(i)
+            words = body.split()
             at, cut = places.of(texts.ids[i], texts.tags[i]), []
             if len(at):
                 mask = covered(at, window, len(words))
                 kept = b" ".join([w for w, m in zip(words, mask.tolist(), strict=True) if not m])
                 cut = [{"start": int(a), "end": int(b)} for a, b in zip(*runs(mask), strict=True)]
                 removed = int(mask.sum())
+                body = without(body, mask)
             else:
                 kept, removed = b" ".join(words), 0
-            for k, v in zip(out, (len(words), removed, cut, kept, hashlib.sha256(kept).hexdigest()), strict=True):
+            for k, v in zip(out, (len(words), removed, cut, kept, hashlib.sha256(kept).hexdigest(), body), strict=True):
                 out[k].append(v)
-        yield pa.RecordBatch.from_arrays(
-            [c.nullable(texts.ids), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["removed"], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(out["kept"], pa.binary()).cast(pa.string()), pa.array(out["kept_sha256"], pa.string())],
-            names=["doc_id", *out],
-        )
-
-    return with_places(repeated_words(rows, window), rows, n, finish, "doc_id long, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept string, kept_sha256 string")
+        long, string = pa.int64(), pa.string()
+        kinds = {"n_words": long, "n_removed": long, "removed": pa.list_(pa.struct([("start", long), ("end", long)])), "kept": string, "kept_sha256": string, "left": string}
+        cols = [pa.array(out[k], pa.binary()).cast(t) if k in ("kept", "left") else pa.array(out[k], t) for k, t in kinds.items()]
+        notes = [pa.array(texts.notes, pa.binary()).cast(string)] if texts.notes is not None else []
+        yield pa.RecordBatch.from_arrays([c.nullable(texts.ids), *cols, *notes], names=["doc_id", *kinds, *(["note"] if notes else [])])
+
+    schema = "doc_id long, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept string, kept_sha256 string, left string"
+    source = rows
+    if note is not None:
+        source = c.text_rows(docs, text, doc_id, F.coalesce(note, F.lit("")).cast("binary").alias("note"))
+        schema += ", note string"
+    return with_places(repeated_words(rows, window), source, n, finish, schema)

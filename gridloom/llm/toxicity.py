@@ -209,8 +209,8 @@ def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([p[0] / p[2] for p in pools]), np.array([(p[1] + 0.5) / (p[2] + 1) for p in pools])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 5000, max_terms: int = 4096, significance: float = 16.0, k: int = 15, prior_weight: float = 0.3, evidence: int = 3, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """Scores every row of ``docs``: doc_id, score (0 to 1), evidence (the nearest examples: doc_id, similarity, label).
+def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 5000, max_terms: int = 4096, significance: float = 16.0, k: int = 15, prior_weight: float = 0.3, evidence: int = 3, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", with_row: bool = False) -> DataFrame:
+    """Scores every row of ``docs``: doc_id, score (0 to 1), evidence (the nearest examples: doc_id, similarity, label), and the row itself as a struct if ``with_row``.
 
     ``labels`` (doc_id, label 0 or 1) names the rows of ``docs`` to learn from; at most ``per_class`` of each label are
     used, chosen by a hash of doc_id.  Rows whose label or doc_id is null teach nothing; of repeated labels the larger
@@ -258,9 +258,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 5000, max_term
                     s, found, sims = index.score(term[a:b], times[a:b])
                     memo[key] = s, [{"doc_id": int(index.ids[j]), "similarity": float(x), "label": int(index.labels[j])} for j, x in zip(found[:evidence], sims[:evidence], strict=True)]
                 scores[i], near[i] = memo[key]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array(near, pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())])))], names=["doc_id", "score", "evidence"])
+            found = pa.array(near, pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), found, *(part.column(i) for i in range(2, part.num_columns))], names=["doc_id", "score", "evidence", *part.schema.names[2:]])
 
-    return rows.mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id:long,similarity:double,label:int>>")
+    row, field = c.whole_row(docs)
+    source, more = (c.text_rows(docs, text, doc_id, row), [field]) if with_row else (rows, [])
+    return source.mapInArrow(run, c.schema_of("doc_id long, score double, evidence array<struct<doc_id:long,similarity:double,label:int>>", *more))
 
 
 def teaching(labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
