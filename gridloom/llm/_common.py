@@ -106,7 +106,7 @@ def pack(*arrays: np.ndarray) -> bytes:
     out = [struct.pack("<B", len(arrays))]
     for a in arrays:
         a = np.ascontiguousarray(a)
-        out += [struct.pack("<2sQ", a.dtype.str[1:].encode(), len(a)), np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() if a.itemsize > 1 else a.tobytes()]
+        out += [struct.pack("<2sQ", a.dtype.str[1:].encode(), len(a)), np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() if a.itemsize > 1 else a.tobytes()]
     return zip_bytes(b"".join(out))
 
 
