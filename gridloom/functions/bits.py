@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def zigzag(v: Column) -> Column:
@@ -170,13 +171,13 @@ class BitReader:
         return out
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def varint_encode(values: pd.Series) -> pd.Series:
     """An array of numbers as varints."""
     return values.map(lambda v: None if v is None else varints(np.asarray(v, np.int64).view(np.uint64)))
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def varint_decode(data: pd.Series) -> pd.Series:
     return data.map(lambda v: None if v is None else unvarints(v).view(np.int64))
 

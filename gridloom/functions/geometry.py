@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A bit for each direction, and its offset.
 DIRECTIONS = {"XNeg": 1, "XPos": 2, "ZNeg": 4, "ZPos": 8, "YNeg": 16, "YPos": 32}
@@ -136,7 +137,7 @@ def hidden_directions(a: list, b: list, *, full_axis: bool = False) -> int:
     return mask
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def occlusion_mask(a: pd.Series, b: pd.Series) -> pd.Series:
     """hidden_directions() of two columns of box arrays (array<array<int>>)."""
     return pd.Series([hidden_directions(list(map(list, x)), list(map(list, y))) for x, y in zip(a, b, strict=True)])

@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The types' numbers.
 END, BYTE, SHORT, INT, LONG, FLOAT, DOUBLE, BYTES, STRING, LIST, COMPOUND, INTS, LONGS = range(13)
@@ -203,7 +204,7 @@ def detect(data: bytes) -> tuple[str, Tag]:
     raise BadTag("no document")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _to_json(data: pd.Series) -> pd.Series:
     def one(x):
         try:
@@ -219,13 +220,13 @@ def to_variant(data: Column) -> Column:
     return F.try_parse_json(_to_json(data))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def to_text(data: pd.Series) -> pd.Series:
     """A document's bytes as readable text."""
     return data.map(lambda x: None if x is None else pretty(detect(x)[1]))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def from_json(text: pd.Series) -> pd.Series:
     """A document from JSON text."""
     return text.map(lambda x: None if x is None else write(of(json.loads(x))))
