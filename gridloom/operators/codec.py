@@ -26,23 +26,31 @@ def context_slot(low: int, high: int, bits: int) -> int:
 
 
 def context_slot_column(low: Column, high: Column, bits: int) -> Column:
-    """context_slot() of columns; products wrap, so they are made in halves of 32 bits."""
+    """context_slot() of columns, in decimals: products of 64-bit numbers would overflow, so they are made in halves of 32 bits."""
+    half, two64 = "decimal(10,0)", F.lit(str(1 << 64)).cast("decimal(22,0)")
 
     def times(x: Column, factor: int) -> Column:
-        f0, f1 = factor & 0xFFFFFFFF, factor >> 32
-        x0, x1 = x.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(x, 32)
-        cross = ((x0.cast("decimal(20,0)") * f1 + x1.cast("decimal(20,0)") * f0) % (1 << 32)).cast("decimal(38,0)")
-        return (x0.cast("decimal(20,0)") * f0).cast("decimal(38,0)") + cross * (1 << 32)
+        f0, f1 = (F.lit(v).cast("long").cast(half) for v in (factor & 0xFFFFFFFF, factor >> 32))
+        x0, x1 = x.bitwiseAND(0xFFFFFFFF).cast(half), F.shiftrightunsigned(x, 32).cast(half)
+        two32 = F.lit(1 << 32).cast("decimal(10,0)")
+        cross = ((x0 * f1 + x1 * f0) % two32).cast(half)
+        return x0 * f0 + cross * two32
 
-    total = (times(low, HASH_A) + times(high, HASH_B) + F.lit(HASH_C).cast("decimal(38,0)")) % F.lit(1 << 64).cast("decimal(38,0)")
-    return F.floor(total / F.lit(1 << (64 - bits)).cast("decimal(38,0)")).cast("int")
+    total = (times(low.cast("long"), HASH_A) + times(high.cast("long"), HASH_B) + F.lit(str(HASH_C)).cast("decimal(20,0)")).cast("decimal(24,0)") % two64
+    return F.floor(total / F.lit(str(1 << (64 - bits))).cast("decimal(20,0)")).cast("int")
+
+
+#: Bounds have 48 bits; 16 leave at a time, so 32 stay to be divided.
+_WIDTH = 48
+_MASK = (1 << _WIDTH) - 1
+_TOP, _LEAST = _WIDTH - 16, 1 << _WIDTH - 16
 
 
 class Encoder:
-    """A binary arithmetic coder with 32-bit bounds that gives out 16 bits at a time."""
+    """A binary arithmetic coder."""
 
     def __init__(self):
-        self.low, self.high, self.out = 0, 0xFFFFFFFF, bytearray()
+        self.low, self.high, self.out = 0, _MASK, bytearray()
 
     def bit(self, value: int, p_zero: int) -> None:
         """Codes a bit whose chance to be 0 is p_zero / SCALE; p_zero lies between 1 and SCALE - 1."""
@@ -51,24 +59,25 @@ class Encoder:
             self.low = middle + 1
         else:
             self.high = middle
-        while not (self.low ^ self.high) >> 16:
-            self.out += (self.high >> 16).to_bytes(2, "big")
-            self.low, self.high = self.low << 16 & 0xFFFFFFFF, self.high << 16 & 0xFFFFFFFF | 0xFFFF
-        while self.high - self.low < SCALE:  # the bounds are too near for a probability: give up the part above the boundary
-            self.out += (self.low >> 16).to_bytes(2, "big")
-            self.low, self.high = self.low << 16 & 0xFFFFFFFF, 0xFFFFFFFF
+        while not (self.low ^ self.high) >> _TOP:
+            self.out += (self.high >> _TOP).to_bytes(2, "big")
+            self.low, self.high = self.low << 16 & _MASK, self.high << 16 & _MASK | 0xFFFF
+        while self.high - self.low < _LEAST:  # bounds that are near each other on either side of a step: the part above it is given up
+            self.out += (self.low >> _TOP).to_bytes(2, "big")
+            self.low, self.high = self.low << 16 & _MASK, _MASK
 
     def close(self) -> bytes:
-        return bytes(self.out) + self.low.to_bytes(4, "big")
+        return bytes(self.out) + self.low.to_bytes(_WIDTH // 8, "big")
 
 
 class Decoder:
     def __init__(self, data: bytes):
-        self.data, self.at = data + bytes(8), 4
-        self.low, self.high, self.code = 0, 0xFFFFFFFF, int.from_bytes(self.data[:4], "big")
+        n = _WIDTH // 8
+        self.data, self.at = data + bytes(n), n
+        self.low, self.high, self.code = 0, _MASK, int.from_bytes(self.data[:n], "big")
 
     def _more(self) -> None:
-        self.code = self.code << 16 & 0xFFFFFFFF | int.from_bytes(self.data[self.at : self.at + 2], "big")
+        self.code = self.code << 16 & _MASK | int.from_bytes(self.data[self.at : self.at + 2].ljust(2, b"\0"), "big")
         self.at += 2
 
     def bit(self, p_zero: int) -> int:
@@ -78,11 +87,11 @@ class Decoder:
             self.low = middle + 1
         else:
             self.high = middle
-        while not (self.low ^ self.high) >> 16:
-            self.low, self.high = self.low << 16 & 0xFFFFFFFF, self.high << 16 & 0xFFFFFFFF | 0xFFFF
+        while not (self.low ^ self.high) >> _TOP:
+            self.low, self.high = self.low << 16 & _MASK, self.high << 16 & _MASK | 0xFFFF
             self._more()
-        while self.high - self.low < SCALE:
-            self.low, self.high = self.low << 16 & 0xFFFFFFFF, 0xFFFFFFFF
+        while self.high - self.low < _LEAST:
+            self.low, self.high = self.low << 16 & _MASK, _MASK
             self._more()
         return value
 

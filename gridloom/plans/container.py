@@ -9,14 +9,16 @@ from gridloom.operators.heights import deltas, heightmap, undo_deltas
 from gridloom.operators.light import propagate
 from gridloom.operators.palette import palette_by_frequency, remap
 
-REGION = (F.floor(F.col("x") / 512).cast("int").alias("rx"), F.floor(F.col("z") / 512).cast("int").alias("rz"))
+
+def _region() -> tuple[Column, Column]:
+    return F.floor(F.col("x") / 512).cast("int").alias("rx"), F.floor(F.col("z") / 512).cast("int").alias("rz")
 
 
 def write(cells: DataFrame, path: str, opaque: Column, heights: DataFrame | None = None, light: DataFrame | None = None, height_mode: str = "delta") -> None:
     """Parts: palette, blocks (ids by region), heights (strip: none; delta: only columns that differ from the computed; keep), light (if given)."""
     palette = palette_by_frequency(cells)
     palette.write.mode("overwrite").parquet(f"{path}/palette")
-    remap(cells, palette).select(*REGION, "x", "y", "z", "sym_id").write.mode("overwrite").partitionBy("rx", "rz").parquet(f"{path}/blocks")
+    remap(cells, palette).select(*_region(), "x", "y", "z", "sym_id").write.mode("overwrite").partitionBy("rx", "rz").parquet(f"{path}/blocks")
     if heights is not None and height_mode != "strip":
         own = heights.select("x", "z", "h")
         if height_mode == "delta":

@@ -13,7 +13,7 @@ ENTRIES = "path string, length long, content binary"
 
 
 def scan_folder(spark: SparkSession, path: str, with_content: bool = True) -> DataFrame:
-    """(path, length, content) of all files below a folder; without content only names and sizes are read."""
+    """(path, length, content) of all files below a folder that have any bytes (Spark's reader passes over empty files); without content only names and sizes are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     root = F.lit(path.rstrip("/") + "/")
     name = F.regexp_replace(F.col("path"), "^file:/*", "/")
