@@ -40,10 +40,10 @@ def context_slot_column(low: Column, high: Column, bits: int) -> Column:
     return F.floor(total / F.lit(str(1 << (64 - bits))).cast("decimal(20,0)")).cast("int")
 
 
-#: Bounds have 48 bits; 16 leave at a time, so 32 stay to be divided.
+#: Bounds have 48 bits; 16 leave at a time when they agree.  A range is divided as long as it is at least _LEAST.
 _WIDTH = 48
 _MASK = (1 << _WIDTH) - 1
-_TOP, _LEAST = _WIDTH - 16, 1 << _WIDTH - 16
+_TOP, _LEAST = _WIDTH - 16, 1 << 17
 
 
 class Encoder:
