@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm._common import mix
+
 #: Pre-tokens whose ids a worker remembers; then it starts anew.
 MEMO = 1_000_000
 _U64 = np.uint64
@@ -77,7 +79,7 @@ class PerfectHash:
         return True
 
     def _slot(self, h: np.ndarray, d: np.ndarray) -> np.ndarray:
-        return (((h >> _U64(32)) + d.astype(_U64) * ((h & _U64(0xFFFFFFFF)) | _U64(1)) + d.astype(_U64) * d.astype(_U64) * _U64(7919)) % _U64(self.n)).astype(np.int64)
+        return (mix(h ^ d.astype(_U64) * _U64(0x9E3779B97F4A7C15)) % _U64(self.n)).astype(np.int64)
 
     def slots(self, keys: list[bytes]) -> np.ndarray:
         h = self._hashes(keys)

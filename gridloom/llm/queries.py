@@ -118,7 +118,7 @@ WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, str
    FROM s{k} s LEFT JOIN m{k} m ON s.host = m.host AND s.template = m.template AND s.seg = m.seg)"""
     return sql + f""",
  f AS (SELECT host, form, CASE WHEN len(segs) > {depth + 1} THEN template || '/**' ELSE template END AS template, labelled, bad FROM t{depth}),
- g AS (SELECT host, template, (sum(bad) + 1) / (sum(labelled) + 2) AS purity FROM f GROUP BY ALL)
+ g AS (SELECT host, template, (sum(bad) + 2) / (sum(labelled) + 4) AS purity FROM f GROUP BY ALL)
 SELECT page_id, r.host, path, rule, coalesce(by_rule, CASE WHEN purity >= 0.7 THEN 'block' ELSE 'allow' END) AS verdict
 FROM r JOIN f ON r.host = f.host AND r.form = f.form JOIN g ON f.host = g.host AND f.template = g.template
 """

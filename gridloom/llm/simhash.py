@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     Copies (equal fingerprints) are one member.  A run of more than ``run_limit`` members of a block is searched in
     stretches of that size, each with the first of every stretch before it, so that no run is held in memory.
-    Null and empty texts are alike and are never linked to others; rows without doc_id have a null component_id.
+    Null and empty texts are copies of each other and are never linked to others; rows without doc_id have a null component_id.
     """
 
     def prints(batches):

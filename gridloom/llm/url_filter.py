@@ -3,7 +3,7 @@
 For each host, path segments that are variable become wildcards, level by level: digits and long codes by their form,
 and any value that few of its node's pages share.  A branch whose labelled share of bad pages doesn't differ from that
 of its siblings (two-proportion test) merges with them.  A template is rejected if its smoothed share of bad labelled
-pages, (bad + 1) / (labelled + 2), reaches the threshold; so templates without labels pass.
+pages, (bad + 2) / (labelled + 4), reaches the threshold; so templates without labels, or with one or two, pass.
 
 The tree grows on counts by host and form of path, not on pages, and every node's totals are sums that Spark makes in
 part before it shuffles; a host that holds a third of all pages is no more to any task than another.
@@ -92,7 +92,7 @@ def url_filter(pages: DataFrame, rules: Sequence[Rule] = (), bad_host_words: Seq
     rows = rows.select("page_id", "host", "path", rule.alias("rule"), by_rule.alias("by_rule"), path_form(F.col("path")).alias("form"), "own")
     labelled = F.coalesce("own", F.when(F.col("by_rule") == "block", 1).when(F.col("by_rule") == "allow", 0), worded)
     forms = rows.groupBy("host", "form").agg(F.count("*").alias("pages"), F.count(labelled).alias("labelled"), F.coalesce(F.sum(labelled), F.lit(0)).cast("long").alias("bad"))
-    judged = checkpoint(templates(checkpoint(forms)).withColumn("purity", (F.col("bad") + 1) / (F.col("labelled") + 2)))
+    judged = checkpoint(templates(checkpoint(forms)).withColumn("purity", (F.col("bad") + 2) / (F.col("labelled") + 4)))
     found = rows.join(judged.select("host", "form", "template", "purity"), ["host", "form"])
     verdict = F.coalesce("by_rule", F.when(F.col("purity") >= threshold, "block").otherwise("allow"))
     return found.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
