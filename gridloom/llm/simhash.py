@@ -199,8 +199,10 @@ def simhash_near_duplicates(docs: DataFrame, shingle: int = 5, max_distance: int
 
 #: Words of 64 bits of a wide fingerprint, and how many of them go along for the check of the distance.
 WIDE, CHECKED = 16, 4
-#: How much less similar two documents may seem in the first check.
-SLACK = 0.06
+#: How much less similar two documents may seem in the first and in the second check: about two standard errors.
+SLACK = (0.1, 0.05)
+#: Links that a member of a long run gets, so that one whose similarity turns out too low isn't its only one.
+LINKS = 3
 _SALTS = np.random.default_rng(64).integers(1, 1 << 63, WIDE, dtype=np.uint64)
 
 
@@ -227,8 +229,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     Sixty-four bits tell a similarity of 0.8 from chance only at a distance that pigeonhole blocks can't serve: the
     expected distance is a seventh of the bits.  So a fingerprint has 1,024 bits here, in 64 blocks of 16: two documents
     of similarity 0.8 agree in at least one block with a probability of 0.99.  Documents that agree in a block are
-    compared by the Hamming distance of 256 bits, with some room (``SLACK``), and linked if that of all 1,024 is at most
-    the one expected of the similarity: an estimate with a standard error of 0.015 there.
+    compared by the Hamming distance of 256 bits, then of all 1,024, each with some room (``SLACK``); the pairs left are
+    linked if the similarity of their sets of shingles is in fact ``similarity`` or more.
 
     Copies (equal fingerprints) are one member.  A run of more than ``run_limit`` members of a block is searched in
     stretches of that size, each with the first of every stretch before it, so that no run is held in memory.
@@ -242,7 +244,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     fps = c.checkpoint(c.text_rows(docs, text, doc_id).mapInArrow(prints, "doc_id long, wide binary"))
     own = fps.filter("doc_id is not null").groupBy("wide").agg(F.min("doc_id").alias("node"))
-    most, strict = angle_bits(similarity - SLACK, 64 * CHECKED), angle_bits(similarity, 64 * WIDE)
+    most, strict = angle_bits(similarity - SLACK[0], 64 * CHECKED), angle_bits(similarity - SLACK[1], 64 * WIDE)
 
     def blocks(batches):
         for batch in batches:
@@ -310,24 +312,52 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     pairs = rows.mapInArrow(run, "a long, b long").distinct()
     pairs = pairs.join(own.select(F.col("node").alias("a"), F.col("wide").alias("wa")), "a").join(own.select(F.col("node").alias("b"), F.col("wide").alias("wb")), "b")
-    links = c.checkpoint(pairs.select("a", "b", "wa", "wb").mapInArrow(verify, "a long, b long"))
+    pairs = c.checkpoint(pairs.select("a", "b", "wa", "wb").mapInArrow(verify, "a long, b long"))
+
+    def sets(batches):
+        for batch in batches:
+            grams = [np.unique(shingle_hashes(x.as_buffer().to_pybytes() if x.as_buffer() is not None else b"", shingle).astype(np.uint32)).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary())], names=["node", "grams"])
+
+    def compare_sets(batches):
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                m, n = len(x) // 4, len(y) // 4
+                common = len(np.intersect1d(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), assume_unique=True))
+                good.append(common >= similarity * (m + n - common))
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(good, pa.bool_())) for i in (0, 1)], names=["a", "b"])
+
+    named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    grams = c.text_rows(docs, text, doc_id).join(named, "doc_id").select("doc_id", "body").mapInArrow(sets, "node long, grams binary")
+    grams = c.checkpoint(grams)
+    both = pairs.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
+    links = c.checkpoint(both.select("a", "b", "ga", "gb").mapInArrow(compare_sets, "a long, b long"))
     roots = components(links).withColumnRenamed("root", "component_id")
     classes = own.join(roots, "node", "left").select("wide", F.coalesce("component_id", "node").alias("component_id"))
     return fps.join(classes, "wide", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def _searched(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (places) that join what is connected: breadth first, against what is not yet reached."""
+    """Links (places) that join what is connected: breadth first, against what has fewer than LINKS links yet."""
+    hits, reached = np.zeros(len(fp), np.int64), np.zeros(len(fp), bool)
     rest, a, b = np.arange(len(fp)), [], []
-    while len(rest) > 1:
-        frontier, rest = rest[:1], rest[1:]
-        while len(frontier) and len(rest):
-            now, frontier = frontier[0], frontier[1:]
-            near = np.bitwise_count(fp[rest] ^ fp[now]).sum(axis=1) <= most
-            new, rest = rest[near], rest[~near]
-            a.append(np.full(len(new), now))
-            b.append(new)
-            frontier = np.r_[frontier, new]
+    queue: list[int] = []
+    while len(rest):
+        if not queue:
+            fresh = rest[~reached[rest]]
+            if not len(fresh):
+                break
+            queue = [int(fresh[0])]
+            reached[queue] = True
+        now = queue.pop(0)
+        near = rest[(np.bitwise_count(fp[rest] ^ fp[now]).sum(axis=1) <= most) & (rest != now)]
+        a.append(np.full(len(near), now))
+        b.append(near)
+        hits[near] += 1
+        queue += near[~reached[near]].tolist()
+        reached[near] = True
+        rest = rest[(hits[rest] < LINKS) & (rest != now)]
     e = np.zeros(0, np.int64)
     return (np.concatenate(a), np.concatenate(b)) if a else (e, e)
 
