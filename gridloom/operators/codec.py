@@ -221,7 +221,7 @@ class GridCodec:
 
 
 def encode_regions(cells: DataFrame, region: str, symbol: str = "sym_id", context_bits: int = 12) -> DataFrame:
-    """(region, nx, ny, nz, x0, y0, z0, palette, payload): the cells of each region (x, y, z, id), coded; what isn't there is 0."""
+    """(region, nx, ny, nz, x0, y0, z0, palette, context_bits, payload): the cells of each region (x, y, z, id), coded; what isn't there is 0."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         at = pdf[["y", "z", "x"]].to_numpy(np.int64)
@@ -231,20 +231,20 @@ def encode_regions(cells: DataFrame, region: str, symbol: str = "sym_id", contex
         grid[tuple((at - least).T)] = pdf[symbol].to_numpy()
         palette = int(grid.max()) + 1
         payload = GridCodec(palette, context_bits).encode(grid)
-        return pd.DataFrame({region: [pdf[region].iloc[0]], "nx": [shape[2]], "ny": [shape[0]], "nz": [shape[1]], "x0": [least[2]], "y0": [least[0]], "z0": [least[1]], "palette": [palette], "payload": [payload]})
+        return pd.DataFrame({region: [pdf[region].iloc[0]], "nx": [shape[2]], "ny": [shape[0]], "nz": [shape[1]], "x0": [least[2]], "y0": [least[0]], "z0": [least[1]], "palette": [palette], "context_bits": [context_bits], "payload": [payload]})
 
     kind = dict(cells.dtypes)[region]
-    return cells.select(region, "x", "y", "z", symbol).groupBy(region).applyInPandas(run, f"{region} {kind}, nx int, ny int, nz int, x0 long, y0 long, z0 long, palette int, payload binary")
+    return cells.select(region, "x", "y", "z", symbol).groupBy(region).applyInPandas(run, f"{region} {kind}, nx int, ny int, nz int, x0 long, y0 long, z0 long, palette int, context_bits int, payload binary")
 
 
-def decode_regions(coded: DataFrame, region: str, symbol: str = "sym_id", context_bits: int = 12) -> DataFrame:
+def decode_regions(coded: DataFrame, region: str, symbol: str = "sym_id") -> DataFrame:
     """(region, x, y, z, id) of every cell of encode_regions()'s grids."""
     kind = dict(coded.dtypes)[region]
 
     def run(parts):
         for pdf in parts:
             for r in pdf.itertuples(index=False):
-                grid = GridCodec(r.palette, context_bits).decode(bytes(r.payload), (r.ny, r.nz, r.nx))
+                grid = GridCodec(r.palette, r.context_bits).decode(bytes(r.payload), (r.ny, r.nz, r.nx))
                 y, z, x = (i.ravel() for i in np.indices(grid.shape))
                 yield pd.DataFrame({region: [getattr(r, region)] * grid.size, "x": x + r.x0, "y": y + r.y0, "z": z + r.z0, symbol: grid.ravel()})
 

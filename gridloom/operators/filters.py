@@ -87,8 +87,9 @@ def metadata_dropped(entries: DataFrame, folder: str) -> DataFrame:
 
 
 def valid_neighbour(x: Column, y: Column, z: Column) -> Column:
-    """An offset that points at a cell coded before: y below, or the same y and z before, or x before in the same row."""
-    return (y < 0) | ((y == 0) & (z < 0)) | ((y == 0) & (z == 0) & (x < 0))
+    """An offset of at most 12 cells that points at one coded before: y below, or the same y and z before, or x before in the same row."""
+    near = (F.abs(x) <= 12) & (F.abs(y) <= 12) & (F.abs(z) <= 12)
+    return near & ((y < 0) | ((y == 0) & (z < 0)) | ((y == 0) & (z == 0) & (x < 0)))
 
 
 def checked(df: DataFrame, condition: Column, message: str) -> DataFrame:

@@ -199,3 +199,65 @@ def cells_of(sections: DataFrame) -> DataFrame:
     """(x, y, z, block) of sections in long form."""
     cell = sections.select("cx", "cz", "sy", "palette", F.posexplode("ids").alias("i", "id"))
     return cell.select((F.col("cx") * 16 + F.col("i").bitwiseAND(15)).cast("int").alias("x"), (F.col("sy").cast("long") * 16 + F.shiftright("i", 8)).alias("y"), (F.col("cz").cast("long") * 16 + F.shiftright("i", 4).bitwiseAND(15)).alias("z"), F.element_at("palette", F.col("id") + 1).alias("block"))
+
+
+# -- chunks in two parts: what this library reads, and the rest as it was --
+
+_BLOCK_KEYS = ("Palette", "BlockStates", "Blocks", "Data", "Add")
+_LIGHT_KEYS = ("SkyLight", "BlockLight")
+
+
+def split_chunk(data: bytes, keep_light: bool = True, keep_heights: bool = True) -> tuple[bytes, int | None, list]:
+    """(the document without its cells, its version, its sections (sy, palette, ids)); a chunk without Level stays whole."""
+    name, (kind, root) = nbt.read(data)
+    if "Level" not in root:
+        return data, None, []
+    version = root.get("DataVersion", (nbt.INT, 0))[1]
+    found = [(sy, palette, ids) for _, _, sy, palette, ids in section_states(data)]
+    held = {sy for sy, _, _ in found}
+    level = dict(root["Level"][1])
+    sections = []
+    for section in level.get("Sections", (nbt.LIST, (nbt.COMPOUND, [])))[1][1]:
+        sy = section["Y"][1] - 256 * (section["Y"][1] > 127)
+        drop = (_BLOCK_KEYS if sy in held else ()) + (() if keep_light else _LIGHT_KEYS)
+        sections.append({k: v for k, v in section.items() if k not in drop})
+    if "Sections" in level:
+        level["Sections"] = (nbt.LIST, (nbt.COMPOUND, sections))
+    if not keep_heights:
+        level.pop("Heightmaps", None)
+    return nbt.write((kind, root | {"Level": (nbt.COMPOUND, level)}), name), version, found
+
+
+def join_chunk(rest: bytes, version: int | None, sections: list) -> bytes:
+    """The inverse of split_chunk(); cells that the rest has itself stay."""
+    if version is None or not sections:
+        return rest
+    name, (kind, root) = nbt.read(rest)
+    level = dict(root["Level"][1])
+    new = {sy: _section_tags(palette, np.asarray(ids), version) for sy, palette, ids in sections}
+    out = []
+    for section in level.get("Sections", (nbt.LIST, (nbt.COMPOUND, [])))[1][1]:
+        sy = section["Y"][1] - 256 * (section["Y"][1] > 127)
+        out.append(new.pop(sy, {}) | section)
+    out += [{"Y": (nbt.BYTE, sy & 255)} | tags for sy, tags in sorted(new.items())]
+    level["Sections"] = (nbt.LIST, (nbt.COMPOUND, out))
+    return nbt.write((kind, root | {"Level": (nbt.COMPOUND, level)}), name)
+
+
+def _section_tags(palette: list[str], ids: np.ndarray, version: int) -> dict:
+    """Cells as tags: ids and nibbles if all states are legacy (``id:data``), else a palette by first sight and packed words."""
+    if all(re.fullmatch(r"\d+:\d+", s) for s in palette):
+        state = np.array([int(a) << 4 | int(b) for a, b in (s.split(":") for s in palette)], np.int32)[ids]
+        nibbles = {"Data": state & 15, "Add": state >> 12}
+        tags = {"Blocks": (nbt.BYTES, (state >> 4 & 255).astype(np.uint8).tobytes())}
+        for key, v in nibbles.items():
+            if key == "Data" or v.any():
+                tags[key] = (nbt.BYTES, (v[0::2] | v[1::2] << 4).astype(np.uint8).tobytes())
+        return tags
+    seen, first = np.unique(ids, return_index=True)
+    order = seen[np.argsort(first)]
+    number = np.zeros(int(ids.max()) + 1, np.int64)
+    number[order] = np.arange(len(order))
+    bits = max(4, (len(order) - 1).bit_length())
+    words = pack_bits(number[ids], bits, spanning=version < SPARSE_VERSION).view(np.int64)
+    return {"Palette": nbt.of([state_entry(palette[i]) for i in order.tolist()]), "BlockStates": (nbt.LONGS, words)}
