@@ -12,6 +12,7 @@ from gridloom.operators import bundle, codec, filters, heights, hidden, light, m
 from gridloom.plans import voxel
 from gridloom.plans.pipeline import Pipe
 from gridloom.plans.voxel import VOXEL_SQL
+from gridloom.sources import archive, nbt, region
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -567,10 +568,18 @@ def legacy_state(spark, d):
     return table(spark, d, "part").select("p_partkey", F.shiftleft((p % 256).cast("int"), 4).bitwiseOR(s % 16).bitwiseOR(F.shiftleft(s % 3, 12)).alias("state"))
 
 
-@query()
+@query(f"SELECT event_id, CAST(({codec.HASH_A}::HUGEINT * event_id + {codec.HASH_B}::HUGEINT * (event_id % 7) + {codec.HASH_C}::HUGEINT) % 18446744073709551616::HUGEINT // 4503599627370496 AS INT) AS slot FROM events")
 def context_slots(spark, d):
-    e = table(spark, d, "events").select("event_id", F.xxhash64("event_type").alias("lo"), F.col("event_id").alias("hi"))
-    return e.select("event_id", codec.context_slot_column(F.col("hi"), F.col("event_id") % 7, 12).alias("slot"))
+    return table(spark, d, "events").select("event_id", codec.context_slot_column(F.col("event_id"), F.col("event_id") % 7, 12).alias("slot"))
+
+
+@query("SELECT p_partkey, CAST(16 + CASE WHEN h >= k THEN 15 ELSE 0 END + CASE WHEN h = 16 OR k = 0 THEN 32 ELSE 0 END AS INT) AS mask FROM (SELECT p_partkey, p_size % 17 AS h, p_partkey % 16 AS k FROM part)")
+def occlusion(spark, d):
+    """Slabs of height h below slabs from height k up."""
+    zero, full = F.lit(0), F.lit(16)
+    h, k = (F.col("p_size") % 17).cast("int"), (F.col("p_partkey") % 16).cast("int")
+    a, b = F.array(F.array(zero, zero, zero, full, h, full)), F.array(F.array(zero, k, zero, full, full, full))
+    return table(spark, d, "part").select("p_partkey", geometry.occlusion_mask(a, b).alias("mask"))
 
 
 # -- documents, bundles, verification -------------------------------------------------------------
@@ -630,6 +639,34 @@ def region_digest(spark, d):
     return verify.region_digest(parts, ["cx", "cz"], ["sy"], "payload")
 
 
+@query("SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events")
+def tag_round_trip(spark, d):
+    return table(spark, d, "events").select("event_id", F.variant_get(nbt.to_variant(nbt.from_json("props")), "$.k", "int").alias("k"))
+
+
+@query("SELECT 'd' || doc_id AS path, sha256(text) AS sha FROM documents")
+def zip_round_trip(spark, d):
+    files = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("path"), F.col("text").cast("binary").alias("content"), "source")
+    return archive.unzip(archive.zip_bytes(files, "source")).select("path", F.sha2("content", 256).alias("sha"))
+
+
+@query("SELECT x, y, z, block FROM voxel", True)
+def region_round_trip(spark, d):
+    """Cells to chunk documents to region files, and back."""
+    import pandas as pd
+
+    def chunk(pdf: pd.DataFrame) -> pd.DataFrame:
+        cx, cz = int(pdf["cx"].iloc[0]), int(pdf["cz"].iloc[0])
+        out: dict[int, list[str]] = {}
+        for x, y, z, b in zip(pdf["x"], pdf["y"], pdf["z"], pdf["block"], strict=True):
+            out.setdefault(y >> 4, ["air"] * 4096)[(y & 15) << 8 | (z & 15) << 4 | x & 15] = b
+        return pd.DataFrame({"cx": [cx], "cz": [cz], "stamp": [0], "data": [region.chunk_document(cx, cz, 2567 if cx else 1631, out)]})
+
+    own = grid(spark, d).select(F.floor(F.col("x") / 16).cast("int").alias("cx"), F.floor(F.col("z") / 16).cast("int").alias("cz"), "x", "y", "z", "block")
+    chunks = own.groupBy("cx", "cz").applyInPandas(chunk, "cx int, cz int, stamp long, data binary")
+    return region.cells_of(region.section_rows(region.chunks_of(region.region_files(chunks)))).filter("block <> 'air'")
+
+
 @query("SELECT event_type, bool_and(value >= 0) AS known FROM events GROUP BY 1")
 def all_known(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.bool_and(F.col("value") >= 0).alias("known"))

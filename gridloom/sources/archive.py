@@ -23,7 +23,11 @@ def scan_folder(spark: SparkSession, path: str, with_content: bool = True) -> Da
 
 def scan_zip(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, content) of the entries of zip files; folders are left out."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+    return unzip(spark.read.format("binaryFile").load(path).select("content"))
+
+
+def unzip(files: DataFrame) -> DataFrame:
+    """The entries of zip files (content)."""
 
     def run(parts):
         for pdf in parts:
