@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import bits, geometry, names
 from gridloom.operators import bundle, codec, filters, heights, hidden, light, merge, neighbours, palette, schema, verify
-from gridloom.plans import voxel
+from gridloom.plans import materials, voxel
 from gridloom.plans.pipeline import Pipe
 from gridloom.plans.voxel import VOXEL_SQL
 from gridloom.sources import archive, nbt, region
@@ -423,6 +423,13 @@ def height_predicates(spark, d):
     return filters.height_predicates(states).select("p_partkey", "WORLD_SURFACE", "OCEAN_FLOOR", "MOTION_BLOCKING_NO_LEAVES", "LIGHT_BLOCKING")
 
 
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'air' WHEN p_size % 3 = 1 THEN 'stone' ELSE 'nothing known' END AS material, p_size % 3 <> 0 AS blocks_motion, p_size % 3 = 1 AS solid_blocking, p_size % 3 = 0 AS replaceable FROM part")
+def material_attributes(spark, d):
+    kind = F.when(F.col("p_size") % 3 == 0, "air").when(F.col("p_size") % 3 == 1, "stone").otherwise("nothing known")
+    own = materials.with_material(table(spark, d, "part").select("p_partkey", kind.alias("material")))
+    return own.select("p_partkey", "material", "blocks_motion", "solid_blocking", "replaceable")
+
+
 # -- functions ----------------------------------------------------------------------------------
 
 
