@@ -201,8 +201,6 @@ def simhash_near_duplicates(docs: DataFrame, shingle: int = 5, max_distance: int
 WIDE, CHECKED = 16, 4
 #: How much less similar two documents may seem in the first and in the second check: about two standard errors.
 SLACK = (0.1, 0.05)
-#: Links that a member of a long run gets, so that one whose similarity turns out too low isn't its only one.
-LINKS = 3
 _SALTS = np.random.default_rng(64).integers(1, 1 << 63, WIDE, dtype=np.uint64)
 
 
@@ -232,7 +230,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     compared by the Hamming distance of 256 bits, then of all 1,024, each with some room (``SLACK``); the pairs left are
     linked if the similarity of their sets of shingles is in fact ``similarity`` or more.
 
-    Copies (equal fingerprints) are one member.  A run of more than ``run_limit`` members of a block is searched in
+    Copies (equal fingerprints) are one member.  Runs of up to 32 members of a block are compared in all pairs; longer
+    ones breadth first, without room, with one link for each member: a large group of near copies gives links in
+    proportion to its members, and what such a link misses has 63 other blocks.  A run of more than ``run_limit`` members of a block is searched in
     stretches of that size, each with the first of every stretch before it, so that no run is held in memory.
     Null and empty texts are copies of each other and are never linked to others; rows without doc_id have a null component_id.
     """
@@ -244,6 +244,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     fps = c.checkpoint(c.text_rows(docs, text, doc_id).mapInArrow(prints, "doc_id long, wide binary"))
     own = fps.filter("doc_id is not null").groupBy("wide").agg(F.min("doc_id").alias("node"))
+    firm = angle_bits(similarity, 64 * CHECKED)
     most, strict = angle_bits(similarity - SLACK[0], 64 * CHECKED), angle_bits(similarity - SLACK[1], 64 * WIDE)
 
     def blocks(batches):
@@ -275,7 +276,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
             a.append(node[i[near]])
             b.append(node[i[near] + d])
         for s, k in zip(starts[size > 32].tolist(), size[size > 32].tolist(), strict=True):
-            x, y = _searched(fp[s : s + k], most)
+            x, y = _searched(fp[s : s + k], firm)
             a.append(node[s + x])
             b.append(node[s + y])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
@@ -284,7 +285,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def run(batches):
-        kept, heads = None, None
+        kept = None
         for batch in batches:
             cols = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.stack([batch.column(2 + i).to_numpy() for i in range(CHECKED)], axis=1).view(_U64)]
             if not len(cols[0]):
@@ -294,13 +295,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
             cut = int(np.searchsorted(cols[0], cols[0][-1]))
             if cut:
                 yield from compare(*(x[:cut] for x in cols))
-                heads = None
             kept = [x[cut:] for x in cols]
             if len(kept[0]) > run_limit:
-                own = [np.concatenate(x) for x in zip(heads, kept, strict=True)] if heads else kept
-                yield from compare(*own)
-                first = _roots(own[2], most)
-                heads = kept = [x[first] for x in own]
+                yield from compare(*kept)
+                first = _roots(kept[2], firm)
+                kept = [x[first] for x in kept]
         if kept is not None:
             yield from compare(*kept)
 
@@ -339,25 +338,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
 
 def _searched(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (places) that join what is connected: breadth first, against what has fewer than LINKS links yet."""
-    hits, reached = np.zeros(len(fp), np.int64), np.zeros(len(fp), bool)
+    """Links (places) that join what is connected: breadth first, against what is not yet reached."""
     rest, a, b = np.arange(len(fp)), [], []
-    queue: list[int] = []
-    while len(rest):
-        if not queue:
-            fresh = rest[~reached[rest]]
-            if not len(fresh):
-                break
-            queue = [int(fresh[0])]
-            reached[queue] = True
-        now = queue.pop(0)
-        near = rest[(np.bitwise_count(fp[rest] ^ fp[now]).sum(axis=1) <= most) & (rest != now)]
-        a.append(np.full(len(near), now))
-        b.append(near)
-        hits[near] += 1
-        queue += near[~reached[near]].tolist()
-        reached[near] = True
-        rest = rest[(hits[rest] < LINKS) & (rest != now)]
+    while len(rest) > 1:
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue and len(rest):
+            now = queue.pop(0)
+            near = np.bitwise_count(fp[rest] ^ fp[now]).sum(axis=1) <= most
+            new, rest = rest[near], rest[~near]
+            a.append(np.full(len(new), now))
+            b.append(new)
+            queue += new.tolist()
     e = np.zeros(0, np.int64)
     return (np.concatenate(a), np.concatenate(b)) if a else (e, e)
 
