@@ -201,6 +201,8 @@ def simhash_near_duplicates(docs: DataFrame, shingle: int = 5, max_distance: int
 WIDE, CHECKED = 16, 4
 #: How much less similar two documents may seem in the first and in the second check: about two standard errors.
 SLACK = (0.1, 0.05)
+#: Members of a block that are compared in all pairs.
+ALL_PAIRS = 6
 _SALTS = np.random.default_rng(64).integers(1, 1 << 63, WIDE, dtype=np.uint64)
 
 
@@ -230,9 +232,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     compared by the Hamming distance of 256 bits, then of all 1,024, each with some room (``SLACK``); the pairs left are
     linked if the similarity of their sets of shingles is in fact ``similarity`` or more.
 
-    Copies (equal fingerprints) are one member.  Runs of up to 32 members of a block are compared in all pairs; longer
-    ones breadth first, without room, with one link for each member: a large group of near copies gives links in
-    proportion to its members, and what such a link misses has 63 other blocks.  A run of more than ``run_limit`` members of a block is searched in
+    Copies (equal fingerprints) are one member.  Runs of up to six members of a block are compared in all pairs; longer
+    ones breadth first, with one link for each member: a large group of near copies gives links in proportion to its
+    members, and where such a link turns out too weak, 63 other blocks hold other runs.  A run of more than ``run_limit`` members of a block is searched in
     stretches of that size, each with the first of every stretch before it, so that no run is held in memory.
     Null and empty texts are copies of each other and are never linked to others; rows without doc_id have a null component_id.
     """
@@ -269,14 +271,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[starts, len(key)])
         a, b = [], []
-        short = np.repeat(size <= 32, size)
-        for d in range(1, int(size[size <= 32].max(initial=1))):
+        short = np.repeat(size <= ALL_PAIRS, size)
+        for d in range(1, int(size[size <= ALL_PAIRS].max(initial=1))):
             i = np.flatnonzero((key[:-d] == key[d:]) & short[:-d])
             near = np.bitwise_count(fp[i] ^ fp[i + d]).sum(axis=1) <= most
             a.append(node[i[near]])
             b.append(node[i[near] + d])
-        for s, k in zip(starts[size > 32].tolist(), size[size > 32].tolist(), strict=True):
-            x, y = _searched(fp[s : s + k], firm)
+        for s, k in zip(starts[size > ALL_PAIRS].tolist(), size[size > ALL_PAIRS].tolist(), strict=True):
+            x, y = _searched(fp[s : s + k], most)
             a.append(node[s + x])
             b.append(node[s + y])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
