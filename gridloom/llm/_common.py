@@ -91,7 +91,7 @@ _Z = {}
 
 def zip_bytes(data) -> bytes:
     if "c" not in _Z:
-        _Z["c"], _Z["d"] = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        _Z["c"], _Z["d"] = zstandard.ZstdCompressor(level=4), zstandard.ZstdDecompressor()
     return _Z["c"].compress(data)
 
 
