@@ -199,8 +199,8 @@ def simhash_near_duplicates(docs: DataFrame, shingle: int = 5, max_distance: int
 
 #: Words of 64 bits of a wide fingerprint, and how many of them go along for the check of the distance.
 WIDE, CHECKED = 16, 4
-#: How much less similar two documents may seem in the first and in the second check: about two standard errors.
-SLACK = (0.1, 0.05)
+#: How much less similar two documents may seem in the check of the distance: about two standard errors.
+SLACK = 0.1
 #: Members of a block that are compared in all pairs.
 ALL_PAIRS = 6
 _SALTS = np.random.default_rng(64).integers(1, 1 << 63, WIDE, dtype=np.uint64)
@@ -229,12 +229,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     Sixty-four bits tell a similarity of 0.8 from chance only at a distance that pigeonhole blocks can't serve: the
     expected distance is a seventh of the bits.  So a fingerprint has 1,024 bits here, in 64 blocks of 16: two documents
     of similarity 0.8 agree in at least one block with a probability of 0.99.  Documents that agree in a block are
-    compared by the Hamming distance of 256 bits, then of all 1,024, each with some room (``SLACK``); the pairs left are
+    compared by the Hamming distance of 256 bits, with some room (``SLACK``); the pairs left are
     linked if the similarity of their sets of shingles is in fact ``similarity`` or more.
 
     Copies (equal fingerprints) are one member.  Runs of up to six members of a block are compared in all pairs; longer
-    ones breadth first, with one link for each member: a large group of near copies gives links in proportion to its
-    members, and where such a link turns out too weak, 63 other blocks hold other runs.  A run of more than ``run_limit`` members of a block is searched in
+    ones breadth first, with two links for each member, by the expected and by the widest distance: a large group of near
+    copies gives links in proportion to its members.  Where links turn out too weak and leave a group in parts, the sets of
+    all its members are searched for pairs between the parts (in one task for each such group, about 4 bytes a shingle).  A run of more than ``run_limit`` members of a block is searched in
     stretches of that size, each with the first of every stretch before it, so that no run is held in memory.
     Null and empty texts are copies of each other and are never linked to others; rows without doc_id have a null component_id.
     """
@@ -247,7 +248,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     fps = c.checkpoint(c.text_rows(docs, text, doc_id).mapInArrow(prints, "doc_id long, wide binary"))
     own = fps.filter("doc_id is not null").groupBy("wide").agg(F.min("doc_id").alias("node"))
     firm = angle_bits(similarity, 64 * CHECKED)
-    most, strict = angle_bits(similarity - SLACK[0], 64 * CHECKED), angle_bits(similarity - SLACK[1], 64 * WIDE)
+    most = angle_bits(similarity - SLACK, 64 * CHECKED)
 
     def blocks(batches):
         for batch in batches:
@@ -278,9 +279,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
             a.append(node[i[near]])
             b.append(node[i[near] + d])
         for s, k in zip(starts[size > ALL_PAIRS].tolist(), size[size > ALL_PAIRS].tolist(), strict=True):
-            x, y = _searched(fp[s : s + k], most)
-            a.append(node[s + x])
-            b.append(node[s + y])
+            for limit in (firm, most):
+                x, y = _searched(fp[s : s + k], limit)
+                a.append(node[s + x])
+                b.append(node[s + y])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
         if len(a):
             a, b = np.unique(np.stack([a, b]), axis=1)
@@ -305,15 +307,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         if kept is not None:
             yield from compare(*kept)
 
-    def verify(batches):
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), _U64).reshape(-1, WIDE) for i in (2, 3))
-            good = pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= strict)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
-
     pairs = rows.mapInArrow(run, "a long, b long").distinct()
-    pairs = pairs.join(own.select(F.col("node").alias("a"), F.col("wide").alias("wa")), "a").join(own.select(F.col("node").alias("b"), F.col("wide").alias("wb")), "b")
-    pairs = c.checkpoint(pairs.select("a", "b", "wa", "wb").mapInArrow(verify, "a long, b long"))
+    pairs = c.checkpoint(pairs)
 
     def sets(batches):
         for batch in batches:
@@ -334,7 +329,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     grams = c.checkpoint(grams)
     both = pairs.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
     links = c.checkpoint(both.select("a", "b", "ga", "gb").mapInArrow(compare_sets, "a long, b long"))
-    roots = components(links).withColumnRenamed("root", "component_id")
+    # groups joined by near fingerprints that the links found so far leave in several parts: all of their members are compared
+    parts = components(links).withColumnRenamed("root", "part")
+    loose = components(pairs).withColumnRenamed("root", "whole").join(parts, "node", "left").select("node", "whole", F.coalesce("part", "node").alias("part"))
+    loose = c.checkpoint(loose)
+    broken = loose.groupBy("whole").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least <> most").select("whole")
+    open_ = loose.join(broken, "whole").join(grams, "node").select("whole", "part", "node", "grams")
+    open_ = open_.repartition(c.partitions(docs.sparkSession), "whole").sortWithinPartitions("whole", "part", "node")
+
+    def join_parts(batches):
+        for part, grams_ in _groups(batches):
+            a, b = linked_parts(part, grams_, similarity)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    joined = components(c.checkpoint(open_.mapInArrow(join_parts, "a long, b long"))).select(F.col("node").alias("part"), "root")
+    roots = loose.join(joined, "part", "left").select("node", F.coalesce("root", "part").alias("component_id"))
     classes = own.join(roots, "node", "left").select("wide", F.coalesce("component_id", "node").alias("component_id"))
     return fps.join(classes, "wide", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
@@ -355,6 +365,60 @@ def _searched(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (e, e)
 
 
+def _groups(batches):
+    """(parts, sets) of each run of equal first columns in sorted rows (whole, part, node, set)."""
+    whole, part, grams = None, [], []
+    for batch in batches:
+        for w, p, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), strict=True):
+            if w != whole:
+                if part:
+                    yield np.array(part), grams
+                whole, part, grams = w, [], []
+            part.append(p)
+            grams.append(np.frombuffer(g.as_py(), np.uint32))
+    if part:
+        yield np.array(part), grams
+
+
+def linked_parts(part: np.ndarray, grams: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links between parts of a group that hold two members of that Jaccard similarity or more: enough to join what is connected.
+
+    The search is exact and breadth first: each member reached is compared with all that aren't yet reached, through
+    an index of their elements, and a part is reached as a whole.
+    """
+    size = np.array([len(g) for g in grams])
+    rest = np.ones(len(part), bool)
+    _, place = np.unique(part, return_inverse=True)
+    order = np.argsort(place, kind="stable")
+    edges = np.searchsorted(place[order], np.arange(place.max() + 2))
+    indexed = 0
+    a, b = [], []
+    for first in range(len(part)):
+        if not rest[first]:
+            continue
+        queue = order[edges[place[first]] : edges[place[first] + 1]].tolist()
+        rest[queue] = False
+        while queue and (left := int(rest.sum())):
+            now = queue.pop()
+            if not indexed or left < indexed // 2:
+                members = np.flatnonzero(rest)
+                element = np.concatenate([grams[i] for i in members])
+                sort = np.argsort(element, kind="stable")
+                element, owner = element[sort], np.repeat(members, size[members])[sort]
+                indexed = left
+            lo = np.searchsorted(element, grams[now])
+            held = owner[c.ranges(lo, np.searchsorted(element, grams[now], side="right") - lo)]
+            common = np.bincount(held, minlength=len(part))
+            near = rest & (common > 0) & (common >= similarity * (size + size[now] - common))
+            for p in np.unique(place[near]).tolist():
+                own = order[edges[p] : edges[p + 1]]
+                rest[own] = False
+                queue += own.tolist()
+                a.append(part[now])
+                b.append(part[own[0]])
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
 def _roots(fp: np.ndarray, most: int) -> np.ndarray:
     """Places of members such that every other is near one of them."""
     rest, out = np.arange(len(fp)), []
