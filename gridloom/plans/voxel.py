@@ -33,6 +33,12 @@ def extents(cells: DataFrame) -> DataFrame:
     return cells.agg(F.floor(F.min("y") / 16).cast("long").alias("min_sy"), F.floor(F.max("y") / 16).cast("long").alias("max_sy"))
 
 
+def section_rows(cells: DataFrame) -> int:
+    """How many sections high a grid from 0 must be to hold all cells; 0 without cells."""
+    top = extents(cells).first()["max_sy"]
+    return 0 if top is None else top + 1
+
+
 def dense_grid(spark, nx: int, ny: int, nz: int) -> DataFrame:
     """All (x, y, z) of a grid that starts at 0, made from one range."""
     i = F.col("id")

@@ -107,13 +107,14 @@ def extents(spark, d):
 
 @query("+g AS (SELECT * FROM (VALUES (0),(1)) a(cx) CROSS JOIN (VALUES (0),(1)) b(cz) CROSS JOIN (VALUES (0),(1)) c(sy)), p AS (SELECT DISTINCT CAST(floor(x/16) AS INT) AS cx, CAST(floor(z/16) AS INT) AS cz, CAST(floor(y/16) AS INT) AS sy FROM voxel) SELECT g.cx, g.cz, g.sy, p.cx IS NOT NULL AS present FROM g LEFT JOIN p ON g.cx = p.cx AND g.cz = p.cz AND g.sy = p.sy", True)
 def presence_grid(spark, d):
-    return voxel.presence(grid(spark, d), 2, 2, 2)
+    cells = grid(spark, d)
+    return voxel.presence(cells, 2, max(2, voxel.section_rows(cells)), 2)
 
 
 @query("+p AS (SELECT block, CAST(row_number() OVER (ORDER BY count(*) DESC, block) - 1 AS INT) AS sym_id FROM voxel GROUP BY block), g AS (SELECT i AS index, CAST(i % 32 AS INT) AS x, (i // 32) % 32 AS z, i // 1024 AS y FROM range(16384) t(i)) SELECT index, coalesce(sym_id, 0) AS sym_id FROM g LEFT JOIN (SELECT x, y, z, sym_id FROM voxel JOIN p USING (block)) v ON g.x = v.x AND g.y = v.y AND g.z = v.z", True)
 def dense_dump(spark, d):
     cells = grid(spark, d)
-    return voxel.dense_dump(cells, palette.palette_by_frequency(cells), 32, 16, 32)
+    return voxel.dense_dump(cells, palette.palette_by_frequency(cells), 32, 16 * max(1, voxel.section_rows(cells)), 32)
 
 
 @query("+p AS (SELECT block, CAST(row_number() OVER (ORDER BY count(*) DESC, block) - 1 AS INT) AS sym_id FROM voxel GROUP BY block) SELECT CAST(floor(x/16) AS INT) AS cx, CAST(floor(z/16) AS INT) AS cz, CAST(floor(y/16) AS BIGINT) AS sy, sha256(string_agg(sym_id::VARCHAR, ',' ORDER BY (y % 16) * 256 + (z % 16) * 16 + x % 16)) AS ids FROM voxel JOIN p USING (block) GROUP BY 1, 2, 3", True)

@@ -24,3 +24,18 @@ def test_durations(spark, tmp_path):
     spark.createDataFrame([(59,), (359999,), (360000,), (3600000 * 5 + 61,)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
     got = {r.o_orderkey: r.t for r in q.QUERIES["durations"](spark, str(tmp_path)).collect()}
     assert got == {59: "00:00:59", 359999: "99:59:59", 360000: "100:00:00", 18000061: "5000:01:01"}
+
+
+def test_dense_dump(spark, tmp_path):
+    cells = events(spark, tmp_path, 40000)
+    got = {r["index"]: r.sym_id for r in q.QUERIES["dense_dump"](spark, str(tmp_path)).collect()}
+    ids = {r.block: k for k, r in enumerate(cells.groupBy("block").count().orderBy(F.desc("count"), "block").collect())}
+    assert sorted(got) == list(range(32 * 32 * 48))
+    assert all(got.pop((r.y * 32 + r.z) * 32 + r.x) == ids[r.block] for r in cells.collect())
+    assert set(got.values()) == {0}
+
+
+def test_presence_grid(spark, tmp_path):
+    events(spark, tmp_path, 32 * 1024 + 1)
+    got = {(r.cx, r.cz, r.sy): r.present for r in q.QUERIES["presence_grid"](spark, str(tmp_path)).collect()}
+    assert got == {(x, z, y): y < 2 or x == z == 0 for x in (0, 1) for z in (0, 1) for y in range(3)}
