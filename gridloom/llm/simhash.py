@@ -12,6 +12,7 @@ of their remaining bits (again by pigeonhole, so no link is lost), until every r
 
 from __future__ import annotations
 
+from collections import deque
 from itertools import combinations
 
 import numpy as np
@@ -235,8 +236,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     Copies (equal fingerprints) are one member.  Runs of up to six members of a block are compared in all pairs; longer
     ones breadth first, with two links for each member, by the expected and by the widest distance: a large group of near
     copies gives links in proportion to its members.  Where links turn out too weak and leave a group in parts, the sets of
-    all its members are searched for pairs between the parts (in one task for each such group, about 4 bytes a shingle).  A run of more than ``run_limit`` members of a block is searched in
-    stretches of that size, each with the first of every stretch before it, so that no run is held in memory.
+    all its members are searched for pairs between the parts (in one task for each such group, about 4 bytes a shingle).
+    All members of a block's run are held (40 bytes each) and compared, ``run_limit`` of them at a time: none is left out.
     Null and empty texts are copies of each other and are never linked to others; rows without doc_id have a null component_id.
     """
 
@@ -280,7 +281,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
             b.append(node[i[near] + d])
         for s, k in zip(starts[size > ALL_PAIRS].tolist(), size[size > ALL_PAIRS].tolist(), strict=True):
             for limit in (firm, most):
-                x, y = _searched(fp[s : s + k], limit)
+                x, y = _searched(fp[s : s + k], limit, run_limit)
                 a.append(node[s + x])
                 b.append(node[s + y])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
@@ -289,23 +290,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def run(batches):
-        kept = None
+        kept: list = []  # parts of the run that may go on in the next batch
         for batch in batches:
             cols = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.stack([batch.column(2 + i).to_numpy() for i in range(CHECKED)], axis=1).view(_U64)]
             if not len(cols[0]):
                 continue
-            if kept is not None:
-                cols = [np.concatenate(x) for x in zip(kept, cols, strict=True)]
+            if kept and kept[0][0][0] == cols[0][-1]:
+                kept.append(cols)
+                continue
+            cols = [np.concatenate(x) for x in zip(*kept, cols, strict=True)]
             cut = int(np.searchsorted(cols[0], cols[0][-1]))
             if cut:
                 yield from compare(*(x[:cut] for x in cols))
-            kept = [x[cut:] for x in cols]
-            if len(kept[0]) > run_limit:
-                yield from compare(*kept)
-                first = _roots(kept[2], firm)
-                kept = [x[first] for x in kept]
-        if kept is not None:
-            yield from compare(*kept)
+            kept = [[x[cut:] for x in cols]]
+        if kept:
+            yield from compare(*(np.concatenate(x) for x in zip(*kept, strict=True)))
 
     pairs = rows.mapInArrow(run, "a long, b long").distinct()
     pairs = c.checkpoint(pairs)
@@ -349,18 +348,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     return fps.join(classes, "wide", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def _searched(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (places) that join what is connected: breadth first, against what is not yet reached."""
+def _searched(fp: np.ndarray, most: int, stretch: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Links (places) that join what is connected: breadth first, against all that is not yet reached, a stretch at a time."""
     rest, a, b = np.arange(len(fp)), [], []
     while len(rest) > 1:
-        queue, rest = [int(rest[0])], rest[1:]
+        queue, rest = deque([int(rest[0])]), rest[1:]
         while queue and len(rest):
-            now = queue.pop(0)
-            near = np.bitwise_count(fp[rest] ^ fp[now]).sum(axis=1) <= most
-            new, rest = rest[near], rest[~near]
-            a.append(np.full(len(new), now))
-            b.append(new)
-            queue += new.tolist()
+            now = queue.popleft()
+            near = np.concatenate([np.bitwise_count(fp[rest[at : at + stretch]] ^ fp[now]).sum(axis=1) <= most for at in range(0, len(rest), stretch)])
+            if near.any():
+                new, rest = rest[near], rest[~near]
+                a.append(np.full(len(new), now))
+                b.append(new)
+                queue += new.tolist()
     e = np.zeros(0, np.int64)
     return (np.concatenate(a), np.concatenate(b)) if a else (e, e)
 
@@ -417,12 +417,3 @@ def linked_parts(part: np.ndarray, grams: list[np.ndarray], similarity: float) -
                 a.append(part[now])
                 b.append(part[own[0]])
     return np.array(a, np.int64), np.array(b, np.int64)
-
-
-def _roots(fp: np.ndarray, most: int) -> np.ndarray:
-    """Places of members such that every other is near one of them."""
-    rest, out = np.arange(len(fp)), []
-    while len(rest):
-        out.append(int(rest[0]))
-        rest = rest[1:][np.bitwise_count(fp[rest[1:]] ^ fp[rest[0]]).sum(axis=1) > most]
-    return np.array(out)

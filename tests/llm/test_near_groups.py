@@ -2,7 +2,10 @@
 
 import random
 
-from gridloom.llm.simhash import near_duplicates
+import numpy as np
+
+from gridloom.llm import simhash
+from gridloom.llm.simhash import near_duplicates, shingle_hashes
 
 SCHEMA = "doc_id long, text string"
 
@@ -26,3 +29,22 @@ def test_edited_copies_of_a_late_original(spark):
     texts = [first if i == 150 else edited(first, rng, 16, f"c{i}") for i in range(301)]
     got = groups(spark, texts, shingle=1)
     assert len(set(got.values())) == 1, len(set(got.values()))
+
+
+def test_later_copy_of_a_member_of_a_long_run(spark, monkeypatch):
+    """All agree in the first block alone; the last is near the second, which is near the first, in a run that comes in several batches."""
+    rng = np.random.default_rng(2)
+    flips = [0, 0b11, *(1 << 8 + k for k in range(6)), 0b11111]
+    table, rows = {}, []
+    for i, flip in enumerate(flips):
+        bits = np.r_[np.full(1, 1), np.full(15, 0xFFFF ^ flip), rng.integers(1, 1 << 16, 48)].astype("<u2")
+        own = 1 if i == len(flips) - 1 else i
+        rows.append((i, f"mark{i} " + " ".join(f"t{own}w{k}" for k in range(50))))
+        table[int(shingle_hashes(b"mark%d" % i, 1)[0])] = bits.tobytes()
+    monkeypatch.setattr(simhash, "wide_fingerprint", lambda hashes: next(table[h] for h in hashes.tolist() if h in table))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        got = near_duplicates(spark.createDataFrame(rows, SCHEMA), shingle=1, run_limit=4).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.doc_id: r.component_id for r in got} == {i: 1 if i == len(flips) - 1 else i for i in range(len(flips))}
