@@ -12,6 +12,7 @@ of their remaining bits (again by pigeonhole, so no link is lost), until every r
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from itertools import combinations
 
@@ -200,8 +201,10 @@ def simhash_near_duplicates(docs: DataFrame, shingle: int = 5, max_distance: int
 
 #: Words of 64 bits of a wide fingerprint, and how many of them go along for the check of the distance.
 WIDE, CHECKED = 16, 4
-#: How much less similar two documents may seem in the check of the distance: about two standard errors.
-SLACK = 0.1
+#: Texts of up to so many shingles meet by the shingles themselves, not by blocks of the fingerprint.
+SHORT = 32
+#: How many standard errors further apart than expected two fingerprints may be: those that share a block, and short texts.
+SLACK = (3.5, 4.5)
 #: Members of a block that are compared in all pairs.
 ALL_PAIRS = 6
 _SALTS = np.random.default_rng(64).integers(1, 1 << 63, WIDE, dtype=np.uint64)
@@ -224,14 +227,42 @@ def angle_bits(similarity: float, bits: int) -> int:
     return round(np.arccos(2 * similarity / (1 + similarity)) / np.pi * bits)
 
 
+def differing(m: int, n: int, common: int) -> float:
+    """The probability that a bit differs in the fingerprints of sets of m and n elements, so many of them common: ties count."""
+
+    def odds(k):
+        return np.array([math.comb(k, i) for i in range(k + 1)]) / 2.0**k
+
+    def above(own, size):
+        tail = np.r_[np.cumsum(odds(own)[::-1])[::-1], 0]
+        return tail[np.clip(size // 2 + 1 - np.arange(common + 1), 0, own + 1)]
+
+    a, b = above(m - common, m), above(n - common, n)
+    return float((odds(common) * (a * (1 - b) + b * (1 - a))).sum())
+
+
+def farthest(similarity: float, least: int, most: int, slack: float) -> int:
+    """The distance of 256 bits that pairs of that similarity pass by no more than ``slack`` standard errors, the smaller set of ``least`` to ``most`` elements; beyond 128 the bits differ less than there."""
+    worst = angle_bits(similarity, 1 << 20) / (1 << 20)
+    for m in range(least, min(most, 128) + 1):
+        for n in range(m, int(m / similarity + 1e-9) + 1):
+            common = math.ceil(similarity / (1 + similarity) * (m + n) - 1e-9)
+            if common <= m:
+                worst = max(worst, differing(m, n, common))
+    bits = 64 * CHECKED
+    return min(bits, math.ceil(bits * worst + slack * math.sqrt(bits * worst * (1 - worst))))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, run_limit: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, component_id) by wide SimHash fingerprints, for a Jaccard similarity of word shingles of ``similarity`` or more.
 
     Sixty-four bits tell a similarity of 0.8 from chance only at a distance that pigeonhole blocks can't serve: the
     expected distance is a seventh of the bits.  So a fingerprint has 1,024 bits here, in 64 blocks of 16: two documents
     of similarity 0.8 agree in at least one block with a probability of 0.99.  Documents that agree in a block are
-    compared by the Hamming distance of 256 bits, with some room (``SLACK``); the pairs left are
-    linked if the similarity of their sets of shingles is in fact ``similarity`` or more.
+    compared by the Hamming distance of 256 bits, with 3.5 standard errors of room (``SLACK``); the pairs left are
+    linked if the similarity of their sets of shingles is in fact ``similarity`` or more.  Texts of up to ``SHORT`` shingles
+    meet whoever shares one of their smallest shingles (so many that no pair of the similarity is missed) instead of a block,
+    and have 4.5 standard errors of room.
 
     Copies (equal fingerprints) are one member.  Runs of up to six members of a block are compared in all pairs; longer
     ones breadth first, with two links for each member, by the expected and by the widest distance: a large group of near
@@ -243,13 +274,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     def prints(batches):
         for batch in batches:
-            wide = [wide_fingerprint(shingle_hashes(x.as_buffer().to_pybytes() if x.as_buffer() is not None else b"", shingle)) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide, pa.binary())], names=["doc_id", "wide"])
-
-    fps = c.checkpoint(c.text_rows(docs, text, doc_id).mapInArrow(prints, "doc_id long, wide binary"))
-    own = fps.filter("doc_id is not null").groupBy("wide").agg(F.min("doc_id").alias("node"))
+            hashes = [np.unique(shingle_hashes(x.as_buffer().to_pybytes() if x.as_buffer() is not None else b"", shingle)) for x in batch.column(1)]
+            wide, size = [wide_fingerprint(h) for h in hashes], [len(h) for h in hashes]
+            # two sets of the similarity share one of each's smallest elements, so many of them
+            some = [h[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1].tobytes() if 0 < len(h) <= partner else b"" for h in hashes]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide, pa.binary()), pa.array(size, pa.int64()), pa.array(some, pa.binary())], names=["doc_id", "wide", "size", "some"])
+
+    partner = int(SHORT / similarity + 1e-9)
+    fps = c.checkpoint(c.text_rows(docs, text, doc_id).mapInArrow(prints, "doc_id long, wide binary, size long, some binary"))
+    own = fps.filter("doc_id is not null").groupBy("wide").agg(F.min("doc_id").alias("node"), F.max("size").alias("size"), F.max("some").alias("some"))
     firm = angle_bits(similarity, 64 * CHECKED)
-    most = angle_bits(similarity - SLACK, 64 * CHECKED)
+    most, short_most = farthest(similarity, SHORT + 1, 128, SLACK[0]), farthest(similarity, 1, SHORT, SLACK[1])
 
     def blocks(batches):
         for batch in batches:
@@ -257,15 +292,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
             if not wide:
                 continue
             bits = np.frombuffer(b"".join(wide), "<u2").reshape(len(wide), -1)
-            real = np.flatnonzero(bits.any(axis=1))
-            bits = bits[real]
-            key = (bits.astype(np.int64) << 8 | np.arange(bits.shape[1])[None, :]).ravel()
-            node = np.repeat(batch.column(1).to_numpy()[real], bits.shape[1])
-            part = np.ascontiguousarray(bits[:, : 4 * CHECKED]).view(np.int64).repeat(bits.shape[1], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), *(pa.array(part[:, i]) for i in range(CHECKED))], names=["key", "node", *(f"c{i}" for i in range(CHECKED))])
+            node, part = batch.column(1).to_numpy(), np.ascontiguousarray(bits[:, : 4 * CHECKED]).view(np.int64)
+            real = np.flatnonzero(batch.column(2).to_numpy() > SHORT)
+            key = (bits[real].astype(np.int64) << 8 | np.arange(bits.shape[1])[None, :]).ravel()
+            at = np.repeat(real, bits.shape[1])
+            some = [np.frombuffer(x, np.int64) for x in batch.column(3).to_pylist()]
+            # keys of shingles are negative
+            key, at = np.r_[key, np.concatenate(some) | np.int64(-1 << 63)], np.r_[at, np.repeat(np.arange(len(some)), [len(x) for x in some])]
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[at]), *(pa.array(part[at, i]) for i in range(CHECKED))], names=["key", "node", *(f"c{i}" for i in range(CHECKED))])
 
     columns = ", ".join(f"c{i} long" for i in range(CHECKED))
-    rows = own.select("wide", "node").mapInArrow(blocks, f"key long, node long, {columns}")
+    rows = own.select("wide", "node", "size", "some").mapInArrow(blocks, f"key long, node long, {columns}")
     rows = rows.repartition(c.partitions(docs.sparkSession), "key").sortWithinPartitions("key", "node")
 
     def compare(key, node, fp):
@@ -276,11 +313,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         short = np.repeat(size <= ALL_PAIRS, size)
         for d in range(1, int(size[size <= ALL_PAIRS].max(initial=1))):
             i = np.flatnonzero((key[:-d] == key[d:]) & short[:-d])
-            near = np.bitwise_count(fp[i] ^ fp[i + d]).sum(axis=1) <= most
+            near = np.bitwise_count(fp[i] ^ fp[i + d]).sum(axis=1) <= np.where(key[i] < 0, short_most, most)
             a.append(node[i[near]])
             b.append(node[i[near] + d])
         for s, k in zip(starts[size > ALL_PAIRS].tolist(), size[size > ALL_PAIRS].tolist(), strict=True):
-            for limit in (firm, most):
+            for limit in (firm, short_most if key[s] < 0 else most):
                 x, y = _searched(fp[s : s + k], limit, run_limit)
                 a.append(node[s + x])
                 b.append(node[s + y])

@@ -48,3 +48,24 @@ def test_later_copy_of_a_member_of_a_long_run(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {r.doc_id: r.component_id for r in got} == {i: 1 if i == len(flips) - 1 else i for i in range(len(flips))}
+
+
+def test_short_texts(spark):
+    """Texts of few shingles, each with a copy that has a word more or three."""
+    rng = random.Random(3)
+    texts = []
+    for i in range(120):
+        words = [f"t{i}w{k}" for k in range(8 if i < 60 else 16)]
+        texts += [words, words + [f"more{rng.random()}" for _ in range(1 if i < 60 else 3)]]
+    got = groups(spark, texts)
+    lost = [i for i in range(0, len(texts), 2) if got[i] != i or got[i + 1] != i]
+    assert not lost, len(lost)
+
+
+def test_room_of_the_distance():
+    """At least 3.5 standard errors above the expected distance, for whatever numbers of shingles at a similarity of 0.8."""
+    assert abs(simhash.differing(4, 5, 4) - 0.1875) < 1e-12
+    for m, n, common in [(4, 5, 4), (12, 15, 12), (13, 14, 12), (40, 41, 36), (100, 100, 89), (100, 125, 100)]:
+        p = simhash.differing(m, n, common)
+        least, most, slack = (1, 32, simhash.SLACK[1]) if m <= 32 else (33, 128, simhash.SLACK[0])
+        assert simhash.farthest(0.8, least, most, slack) >= 256 * p + 3.5 * (256 * p * (1 - p)) ** 0.5
