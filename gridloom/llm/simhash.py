@@ -265,7 +265,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     and have 4.5 standard errors of room.
 
     Copies (equal fingerprints) are one member.  Runs of up to six members of a block are compared in all pairs; longer
-    ones breadth first, with two links for each member, by the expected and by the widest distance: a large group of near
+    ones breadth first, with one link for each member, by the expected distance where one is so near, else by the widest: a large group of near
     copies gives links in proportion to its members.  Where links turn out too weak and leave a group in parts, the sets of
     all its members are searched for pairs between the parts (in one task for each such group, about 4 bytes a shingle).
     All members of a block's run are held (40 bytes each) and compared, ``run_limit`` of them at a time: none is left out.
@@ -317,10 +317,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
             a.append(node[i[near]])
             b.append(node[i[near] + d])
         for s, k in zip(starts[size > ALL_PAIRS].tolist(), size[size > ALL_PAIRS].tolist(), strict=True):
+            own, label = fp[s : s + k], np.arange(k)
             for limit in (firm, short_most if key[s] < 0 else most):
-                x, y = _searched(fp[s : s + k], limit, run_limit)
+                x, y = _searched(own, limit, label, run_limit)
                 a.append(node[s + x])
                 b.append(node[s + y])
+                for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                    label[j] = label[i]
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
         if len(a):
             a, b = np.unique(np.stack([a, b]), axis=1)
@@ -367,10 +370,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     links = c.checkpoint(both.select("a", "b", "ga", "gb").mapInArrow(compare_sets, "a long, b long"))
     # groups joined by near fingerprints that the links found so far leave in several parts: all of their members are compared
     parts = components(links).withColumnRenamed("root", "part")
-    loose = components(pairs).withColumnRenamed("root", "whole").join(parts, "node", "left").select("node", "whole", F.coalesce("part", "node").alias("part"))
-    loose = c.checkpoint(loose)
-    broken = loose.groupBy("whole").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least <> most").select("whole")
-    open_ = loose.join(broken, "whole").join(grams, "node").select("whole", "part", "node", "grams")
+    parts = c.checkpoint(named.withColumnRenamed("doc_id", "node").join(parts, "node", "left").select("node", F.coalesce("part", "node").alias("part")))
+    between = pairs.join(parts.select(F.col("node").alias("a"), F.col("part").alias("pa")), "a").join(parts.select(F.col("node").alias("b"), F.col("part").alias("pb")), "b")
+    between = between.filter("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct()
+    broken = components(between).select(F.col("node").alias("part"), F.col("root").alias("whole"))
+    open_ = parts.join(broken, "part").join(grams, "node").select("whole", "part", "node", "grams")
     open_ = open_.repartition(c.partitions(docs.sparkSession), "whole").sortWithinPartitions("whole", "part", "node")
 
     def join_parts(batches):
@@ -380,24 +384,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     joined = components(c.checkpoint(open_.mapInArrow(join_parts, "a long, b long"))).select(F.col("node").alias("part"), "root")
-    roots = loose.join(joined, "part", "left").select("node", F.coalesce("root", "part").alias("component_id"))
+    roots = parts.join(joined, "part", "left").select("node", F.coalesce("root", "part").alias("component_id"))
     classes = own.join(roots, "node", "left").select("wide", F.coalesce("component_id", "node").alias("component_id"))
     return fps.join(classes, "wide", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def _searched(fp: np.ndarray, most: int, stretch: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """Links (places) that join what is connected: breadth first, against all that is not yet reached, a stretch at a time."""
+def _searched(fp: np.ndarray, most: int, label: np.ndarray, stretch: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Links (places) that join what is connected: breadth first, against all that is not yet reached, a stretch at a time; members of one label are reached together."""
     rest, a, b = np.arange(len(fp)), [], []
     while len(rest) > 1:
-        queue, rest = deque([int(rest[0])]), rest[1:]
+        same = label[rest] == label[rest[0]]
+        queue, rest = deque(rest[same].tolist()), rest[~same]
         while queue and len(rest):
             now = queue.popleft()
             near = np.concatenate([np.bitwise_count(fp[rest[at : at + stretch]] ^ fp[now]).sum(axis=1) <= most for at in range(0, len(rest), stretch)])
             if near.any():
-                new, rest = rest[near], rest[~near]
-                a.append(np.full(len(new), now))
-                b.append(new)
-                queue += new.tolist()
+                new = rest[near]
+                found, first = np.unique(label[new], return_index=True)
+                a.append(np.full(len(found), now))
+                b.append(new[first])
+                reached = np.isin(label[rest], found)
+                queue += rest[reached].tolist()
+                rest = rest[~reached]
     e = np.zeros(0, np.int64)
     return (np.concatenate(a), np.concatenate(b)) if a else (e, e)
 
