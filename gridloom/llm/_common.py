@@ -8,6 +8,8 @@ each partition's share stays the same as the input grows with that setting.
 
 from __future__ import annotations
 
+import ctypes
+import re
 import struct
 import tempfile
 import uuid
@@ -22,6 +24,9 @@ from pyspark.sql import types as T
 
 #: Bytes of text that a task handles at once; the largest of its arrays has eight bytes for each of them.
 FLUSH_BYTES = 8 << 20
+#: Bytes of an Arrow batch that goes to a Python worker, unless the session sets a limit of its own.
+BATCH_BYTES = 8 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 BLOB_SCHEMA = "part int, kind int, payload binary"
 BLOB = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 #: A null doc_id sorts after every other.
@@ -34,16 +39,32 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the shared folder in spark.checkpoint.dir; a folder of its own only where that is unset."""
-    sc = df.sparkSession.sparkContext
+def bound_batches(spark: SparkSession) -> None:
+    """Batches of long texts or sets stay small: the limit of Spark's default (64 MB) becomes ``BATCH_BYTES``."""
+    if spark.conf.get(_BATCH_KEY, "67108864b").rstrip("b") == "67108864":
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir.  Where it is unset, a folder of this machine if the master is local (tests), else an error: executors of other machines would write to their own disks."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gridloom-"))
+        path = sc.getConf().get("spark.checkpoint.dir")
+        if not path and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="gridloom-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts the lineage through the shared folder; Spark deletes the files once nothing refers to them if spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def text_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *more) -> DataFrame:
     """(doc_id long, body binary, ``more``): null texts are empty; other columns are dropped, whatever their names."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"), *more)
 
 
@@ -57,15 +78,39 @@ def schema_of(ddl: str, *more: T.StructField) -> T.StructType:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a DataFrame as Parquet into a new folder of the shared checkpoint folder and reads it again."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gridloom-"))
-    path = f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    """Writes a DataFrame as Parquet into a new folder of the shared folder and reads it again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a DataFrame of stored(), once nothing reads it any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def released() -> None:
+    """Gives the memory that a task has freed back to the system: workers are used again, by tasks with other needs."""
+    pa.default_memory_pool().release_unused()
+    if "libc" not in _Z:
+        _Z["libc"] = ctypes.CDLL(None)
+    if hasattr(_Z["libc"], "malloc_trim"):
+        _Z["libc"].malloc_trim(0)
+
+
+def tidy(run):
+    """``run`` (batches to batches), after which its memory is released."""
+
+    def whole(batches):
+        yield from run(batches)
+        released()
+
+    return whole
+
+
 def exchange(df: DataFrame, n: int) -> DataFrame:
     """Each row goes to the partition that its column ``part`` names."""
     return df.repartitionById(n, F.col("part"))

@@ -14,8 +14,11 @@ A suffix array of the whole corpus takes tens of bytes of shuffle for each byte
    removes the windows of all later documents.
 3. The places go back to the texts, dealt by doc_id.
 
-Hot groups: of what is the same within a flush of about 12 MB (a key in step 1; a context in step 2) one entry travels.
-A context that many documents hold enters the sort once, with its holders.  Keys only route; bytes decide.
+Hot groups: of what is the same within a flush of about 8 MB (a key in step 1; a context in step 2) one entry travels.
+A context that many documents hold enters the sort once, with its holders.  But a passage with other surroundings in each
+document gives as many contexts of one key.  So the keys that very many documents have (told from a sample of the
+documents, which only balances the work: any choice of keys gives the same result) are split: each of their windows is a context
+by itself, routed by its own hash, and of equal ones in a flush one travels.  Keys only route; bytes decide.
 """
 
 from __future__ import annotations
@@ -24,7 +27,9 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from gridloom.llm import _common as c
 from gridloom.llm.substring_dedup import runs, with_places
@@ -35,6 +40,8 @@ _TABLE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) *
 _OPEN, _KNOWN, _PLACES, _TEXTS = 0, 1, 2, 9
 #: Bytes of contexts that are sorted at once, unless one key has more.
 SORT_BYTES = 1 << 19
+#: A key is split if so many of one in ``HOT_SAMPLE`` documents have it: about 65,000 documents, some 5 MB of contexts.
+HOT_SAMPLE, HOT_DOCS = 1024, 64
 
 
 def window_keys(data: np.ndarray, length: int) -> np.ndarray:
@@ -157,7 +164,23 @@ def shared_runs(docs: DataFrame, length: int) -> DataFrame:
         if rows := list(c.send_places_of(ids[at], tags[at], start[at].astype(np.int64), n, _PLACES)):
             yield c.blob_batch(rows)
 
-    return c.exchange(docs.mapInArrow(send, c.BLOB_SCHEMA), n).mapInArrow(settle, c.BLOB_SCHEMA)
+    return c.exchange(docs.mapInArrow(c.tidy(send), c.BLOB_SCHEMA), n).mapInArrow(c.tidy(settle), c.BLOB_SCHEMA)
+
+
+def hot_keys(docs: DataFrame, length: int) -> np.ndarray:
+    """The sorted keys that at least ``HOT_DOCS`` of one in ``HOT_SAMPLE`` documents have."""
+
+    def run(batches):
+        for texts in c.flushes(batches):
+            doc, _, _, key = window_runs(texts, length)
+            order = np.lexsort((doc, key))
+            once = order[np.r_[True, (key[order][1:] != key[order][:-1]) | (doc[order][1:] != doc[order][:-1])]] if len(key) else order
+            keys, n = np.unique(key[once], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
+
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", "body"), F.lit(HOT_SAMPLE)) == 0)
+    found = some.mapInArrow(c.tidy(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT_DOCS).collect()
+    return np.sort(np.array([r.key for r in found], np.int64).view(_U64))
 
 
 def ranked(values: np.ndarray) -> np.ndarray:
@@ -228,9 +251,10 @@ def suffix_classes(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[n
     return order, np.cumsum(np.r_[False, differ])
 
 
-def repeated_bytes(docs: DataFrame, length: int) -> DataFrame:
-    """Blob rows with the windows (first byte; as runs) of each document that a smaller doc_id holds too."""
-    n = c.partitions(docs.sparkSession)
+def shared_contexts(docs: DataFrame, length: int) -> DataFrame:
+    """Blob rows with the contexts of the shared runs, dealt by key, and with windows that a flush settles (as runs)."""
+    n, hot = c.partitions(docs.sparkSession), hot_keys(docs, length)
+
     def contexts(texts: c.Texts, places: c.Places):
         doc, start, many, key = window_runs(texts, length)
         if not len(key):
@@ -245,6 +269,13 @@ def repeated_bytes(docs: DataFrame, length: int) -> DataFrame:
         if not len(at):
             return
         body = texts.data.tobytes()
+        split = np.isin(key[at], hot) if len(hot) else np.zeros(len(at), bool)
+        if split.any():
+            own = at[split]
+            windows = [np.repeat(doc[own], many[own]), c.ranges(start[own], many[own])]
+            hashes = np.array([xxhash.xxh64_intdigest(body[a : a + length]) for a in (texts.offsets[windows[0]] + windows[1]).tolist()], _U64)
+            doc, start, many, key = (np.concatenate([x[at[~split]], y]) for x, y in zip((doc, start, many, key), (*windows, np.ones(len(hashes), np.int64), hashes), strict=True))
+            at = np.lexsort((start, doc))
         first = (texts.offsets[doc[at]] + start[at]).tolist()
         seen: dict[bytes, int] = {}
         least = np.empty(len(at), np.int64)
@@ -265,6 +296,13 @@ def repeated_bytes(docs: DataFrame, length: int) -> DataFrame:
         if rows:
             yield c.blob_batch(rows)
 
+    return with_places(shared_runs(docs, length), docs, n, contexts, c.BLOB_SCHEMA, places_kind=_PLACES)
+
+
+def repeated_bytes(docs: DataFrame, length: int) -> DataFrame:
+    """Blob rows with the windows (first byte; as runs) of each document that a smaller doc_id holds too."""
+    n = c.partitions(docs.sparkSession)
+
     def sort(batches):
         got = []
         for _, kind, payload in c.by_part(batches):
@@ -275,8 +313,7 @@ def repeated_bytes(docs: DataFrame, length: int) -> DataFrame:
         if got:
             yield from _sorted(got, length, n)
 
-    sent = with_places(shared_runs(docs, length), docs, n, contexts, c.BLOB_SCHEMA, places_kind=_PLACES)
-    return c.exchange(sent, n).mapInArrow(sort, c.BLOB_SCHEMA)
+    return c.exchange(shared_contexts(docs, length), n).mapInArrow(c.tidy(sort), c.BLOB_SCHEMA)
 
 
 def _send_runs(ids, tags, start, many, n):
@@ -356,7 +393,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text
 
     Null texts are empty; texts of fewer than ``length`` bytes stay whole.  A null doc_id sorts after every other, so
     that its bytes can be removed but remove nobody's.  Rows that share a doc_id don't affect each other.  Other columns
-    of ``docs`` are ignored, whatever their names.
+    of ``docs`` are ignored, whatever their names.  Long texts count whole; an empty table gives an empty result.
     """
     if not 50 <= length <= 72:
         raise ValueError("length must be from 50 to 72")

@@ -16,7 +16,7 @@ from gridloom.llm import queries as q
 from gridloom.llm.components import components
 from gridloom.llm.simhash import fingerprint_links, linked, near_duplicates, signed, simhash_near_duplicates
 from gridloom.llm.substring_dedup import substring_dedup, without
-from gridloom.llm.suffix_dedup import suffix_classes, suffix_dedup
+from gridloom.llm.suffix_dedup import shared_contexts, suffix_classes, suffix_dedup
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("body", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("score", T.DoubleType())])
 
@@ -102,6 +102,28 @@ def test_small_flushes(spark, monkeypatch):
     assert sorted(map(tuple, suffix_dedup(df).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()), key=str) == cut_bytes(rows, 50)
 
 
+def test_hot_key_is_split(spark, monkeypatch):
+    """One passage in random surroundings: many contexts of one key, which go apart and still meet window by window."""
+    rng = np.random.default_rng(9)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8)
+
+    def text(k):
+        return letters[rng.integers(0, 27, k)].tobytes().decode()
+
+    passage = text(60)
+    rows = [(i, text(int(rng.integers(60, 200))) + passage + text(int(rng.integers(60, 200))), None, None, None) for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    heaviest = {}
+    for least in (10**9, 100):
+        monkeypatch.setattr("gridloom.llm.suffix_dedup.HOT_SAMPLE", 1)
+        monkeypatch.setattr("gridloom.llm.suffix_dedup.HOT_DOCS", least)
+        got = suffix_dedup(df).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        assert sorted(map(tuple, got.collect()), key=str) == cut_bytes(rows, 50)
+        loads = [r.b for r in shared_contexts(c.text_rows(df), 50).filter("kind = 0").groupBy("part").agg(F.sum(F.octet_length("payload")).alias("b")).collect()]
+        heaviest[least] = max(loads) / sum(loads)
+    assert heaviest[10**9] > 0.5 and heaviest[100] < 0.4
+
+
 @given(st.binary(max_size=400).map(lambda b: bytes(x % 3 for x in b)), st.integers(50, 72))
 @settings(max_examples=60, deadline=None)
 def test_suffix_order(text, length):
