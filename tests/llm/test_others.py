@@ -233,24 +233,45 @@ def test_held_out(spark):
     assert all(r.h == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
 
 
-def test_nearest_is_exact():
+@pytest.mark.parametrize("width", [30, 400])
+def test_nearest_is_exact(width):
+    """With few words all are rows of the matrix, with many most are lists; documents also hold words that no example has."""
     rng = np.random.default_rng(8)
-    width = 30
-    vectors = [(np.sort(rng.choice(width, rng.integers(0, 6), replace=False)), None) for _ in range(700)]
-    vectors = [(t, rng.integers(1, 5, len(t))) for t, _ in vectors]
-    idf = rng.random(width) + 0.5
-    index = toxicity.ExampleIndex(vectors, rng.integers(0, 2, 700), np.arange(700), idf, (1.0, 1.0), 15, 0.3)
-    dense = np.zeros((700, width))
-    for i, (t, n) in enumerate(vectors):
-        if len(t):
-            u = index.unit(t, n)
-            dense[i, u[0]] = u[1]
-    for i in range(0, 700, 7):
-        if len(vectors[i][0]):
-            found, score = index.nearest(*index.unit(*vectors[i]))
-            want = np.sort(dense @ dense[i])[::-1][:15]
-            assert np.allclose(score, want[want > 0][: len(score)]) and len(score) == min(15, int((dense @ dense[i] > 0).sum()))
-            assert np.allclose(dense[index.ids[found]] @ dense[i], score)
+    words, weight = np.sort(rng.integers(1, 1 << 63, width, dtype=np.uint64)), rng.random(width) + 0.5
+    examples = []
+    for i in range(700):
+        own = np.sort(rng.choice(width, rng.integers(0, 9), replace=False, p=np.arange(width, 0, -1) / (width * (width + 1) / 2)))
+        examples.append((i, int(rng.integers(0, 2)), words[own], rng.integers(1, 5, len(own)).astype(np.uint32), words[own]))
+    index = toxicity.ExampleIndex(examples, words, weight, 0.7, (1.0, 1.0), 15, 0.3)
+
+    def dense(own, times):
+        v = np.zeros(width)
+        v[np.searchsorted(words, own)] = (1 + np.log(times)) * weight[np.searchsorted(words, own)]
+        return v
+
+    table = np.array([dense(e[2], e[3]) / max(1e-9, np.linalg.norm(dense(e[2], e[3]))) for e in examples])
+    bodies = [np.repeat(e[2], e[3]) for e in examples[:200]]
+    odd = [np.r_[b, np.full(i % 4, 5, np.uint64), np.full(i % 3, 9, np.uint64)] for i, b in enumerate(bodies)]
+    found, score = index.nearest(index.documents(np.concatenate(odd), np.array([len(x) for x in odd])))
+    for i in range(200):
+        q = dense(examples[i][2], examples[i][3])
+        more = sum(((1 + np.log(n)) * 0.7) ** 2 for n in (i % 4, i % 3) if n)
+        sims = table @ (q / max(1e-9, np.sqrt(q @ q + more)))
+        want = np.sort(sims)[::-1][:15]
+        assert np.allclose(score[i], np.maximum(want, 0), atol=1e-9)
+        assert all(np.isclose(sims[index.ids[f]], x, atol=1e-9) for f, x in zip(found[i], score[i], strict=True) if f >= 0)
+        assert (found[i] >= 0).sum() == min(15, (sims > 1e-12).sum())
+
+
+def test_every_document_that_shares_a_word_has_evidence(spark):
+    df, labels, docs = tables(spark, 60)
+    got = toxicity.toxicity(df, labels).collect()
+    known = {r.doc_id for r in labels.collect()}
+    held = {w for r in df.collect() if r.doc_id in known for w in re.findall("[a-z]+", (r.text or "").lower())}
+    texts = {r.doc_id: r.text for r in df.collect()}
+    for r in got:
+        shares = any(w in held for w in re.findall("[a-z]+", (texts[r.doc_id] or "").lower()))
+        assert bool(r.evidence) == shares
 
 
 def test_monotone():
