@@ -13,7 +13,6 @@ of their remaining bits (again by pigeonhole, so no link is lost), until every r
 from __future__ import annotations
 
 import math
-from collections import deque
 from itertools import combinations
 
 import numpy as np
@@ -205,8 +204,12 @@ WIDE, CHECKED = 16, 4
 SHORT = 32
 #: How many standard errors further apart than expected two fingerprints may be: those that share a block, and short texts.
 SLACK = (3.5, 4.5)
-#: Members of a block that are compared in all pairs.
-ALL_PAIRS = 6
+#: The least chance that a pair of the similarity asked for shares a block, with many shingles.
+MEET = 0.99
+#: Elements of sets in a stretch of a group that is searched exactly.
+STRETCH = 1 << 19
+#: Runs of up to so many members are compared together with others of their length, by shifts.
+_SHIFTS = 8
 _SALTS = np.random.default_rng(64).integers(1, 1 << 63, WIDE, dtype=np.uint64)
 
 
@@ -253,212 +256,342 @@ def farthest(similarity: float, least: int, most: int, slack: float) -> int:
     return min(bits, math.ceil(bits * worst + slack * math.sqrt(bits * worst * (1 - worst))))
 
 
+def block_places(count: int, similarity: float) -> np.ndarray:
+    """The bits of each block of a wide fingerprint (blocks by bits).
+
+    Fingerprints that are unlike share a block's value with count / 2 ** width others: blocks are wide enough that these
+    are at most 1,024, and so many that a pair of the similarity shares one with the chance ``MEET``.  Up to 67 million
+    documents they are 64 blocks of 16 bits; wider ones take their bits from further orders of all 1,024.
+    """
+    width = max(16, 4 * math.ceil((math.log2(max(1, count)) - 10) / 4))
+    agree = (1 - angle_bits(similarity, 1 << 20) / (1 << 20)) ** width
+    blocks = math.ceil(math.log(1 - MEET) / math.log(1 - agree))
+    each, rng = 64 * WIDE // width, np.random.default_rng(width)
+    # blocks of further orders share bits with others
+    blocks = each if blocks <= each else math.ceil(blocks * 1.2)
+    orders = [np.arange(64 * WIDE) if t == 0 else rng.permutation(64 * WIDE) for t in range(-(-blocks // each))]
+    return np.concatenate([o[: each * width].reshape(each, width) for o in orders])[:blocks]
+
+
+def _sets(column: pa.Array, shingle: int) -> list[np.ndarray]:
+    return [np.unique(shingle_hashes(x.as_buffer().to_pybytes() if x.as_buffer() is not None else b"", shingle)) for x in column]
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, run_limit: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, component_id) by wide SimHash fingerprints, for a Jaccard similarity of word shingles of ``similarity`` or more.
 
     Sixty-four bits tell a similarity of 0.8 from chance only at a distance that pigeonhole blocks can't serve: the
-    expected distance is a seventh of the bits.  So a fingerprint has 1,024 bits here, in 64 blocks of 16: two documents
-    of similarity 0.8 agree in at least one block with a probability of 0.99.  Documents that agree in a block are
+    expected distance is a seventh of the bits.  So a fingerprint has 1,024 bits here, in blocks (``block_places``): two
+    documents of similarity 0.8 agree in at least one block with a probability of 0.99.  Documents that agree in a block are
     compared by the Hamming distance of 256 bits, with 3.5 standard errors of room (``SLACK``); the pairs left are
     linked if the similarity of their sets of shingles is in fact ``similarity`` or more.  Texts of up to ``SHORT`` shingles
     meet whoever shares one of their smallest shingles (so many that no pair of the similarity is missed) instead of a block,
     and have 4.5 standard errors of room.
 
-    Copies (equal fingerprints) are one member.  Runs of up to six members of a block are compared in all pairs; longer
-    ones breadth first, with one link for each member, by the expected distance where one is so near, else by the widest: a large group of near
-    copies gives links in proportion to its members.  Where links turn out too weak and leave a group in parts, the sets of
-    all its members are searched for pairs between the parts (in one task for each such group, about 4 bytes a shingle).
-    All members of a block's run are held (40 bytes each) and compared, ``run_limit`` of them at a time: none is left out.
-    Null and empty texts are copies of each other and are never linked to others; rows without doc_id have a null component_id.
+    Of what is near in a block, links are emitted that join it (each member's first near one, and one more for each group
+    that the member brings together), so a group gives links in proportion to its members.  Where the exact check then
+    leaves such a group in parts, all its members of different parts are compared exactly.  A run of a block of more than
+    ``run_limit`` members isn't held: its stretches are compared by themselves, and then its members of different parts with each
+    other.  Both are dealt in tiles of two bounded stretches, so no task holds a group; no pair is left out.
+
+    Copies (equal fingerprints) and repeated rows are one member.  Null and empty texts are copies of each other and are never
+    linked to others; rows without doc_id have a null component_id; rows that share a doc_id are of one component.  Long
+    texts count whole; an empty table gives an empty result; other columns are ignored, whatever their names.
     """
+    spark, n = docs.sparkSession, c.partitions(docs.sparkSession)
 
     def prints(batches):
         for batch in batches:
-            hashes = [np.unique(shingle_hashes(x.as_buffer().to_pybytes() if x.as_buffer() is not None else b"", shingle)) for x in batch.column(1)]
-            wide, size = [wide_fingerprint(h) for h in hashes], [len(h) for h in hashes]
+            hashes = _sets(batch.column(1), shingle)
             # two sets of the similarity share one of each's smallest elements, so many of them
             some = [h[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1].tobytes() if 0 < len(h) <= partner else b"" for h in hashes]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide, pa.binary()), pa.array(size, pa.int64()), pa.array(some, pa.binary())], names=["doc_id", "wide", "size", "some"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(h) for h in hashes], pa.binary()), pa.array([len(h) for h in hashes], pa.int64()), pa.array(some, pa.binary())], names=["doc_id", "wide", "size", "some"])
 
     partner = int(SHORT / similarity + 1e-9)
-    fps = c.checkpoint(c.text_rows(docs, text, doc_id).mapInArrow(prints, "doc_id long, wide binary, size long, some binary"))
+    fps = c.checkpoint(c.text_rows(docs, text, doc_id).mapInArrow(c.tidy(prints), "doc_id long, wide binary, size long, some binary"))
     own = fps.filter("doc_id is not null").groupBy("wide").agg(F.min("doc_id").alias("node"), F.max("size").alias("size"), F.max("some").alias("some"))
-    firm = angle_bits(similarity, 64 * CHECKED)
     most, short_most = farthest(similarity, SHORT + 1, 128, SLACK[0]), farthest(similarity, 1, SHORT, SLACK[1])
+    places = block_places(fps.count(), similarity)
+    parts_of = [f"c{i}" for i in range(CHECKED)]
 
     def blocks(batches):
-        for batch in batches:
-            wide = [x.as_py() for x in batch.column(0)]
-            if not wide:
-                continue
-            bits = np.frombuffer(b"".join(wide), "<u2").reshape(len(wide), -1)
-            node, part = batch.column(1).to_numpy(), np.ascontiguousarray(bits[:, : 4 * CHECKED]).view(np.int64)
-            real = np.flatnonzero(batch.column(2).to_numpy() > SHORT)
-            key = (bits[real].astype(np.int64) << 8 | np.arange(bits.shape[1])[None, :]).ravel()
-            at = np.repeat(real, bits.shape[1])
-            some = [np.frombuffer(x, np.int64) for x in batch.column(3).to_pylist()]
-            # keys of shingles are negative
-            key, at = np.r_[key, np.concatenate(some) | np.int64(-1 << 63)], np.r_[at, np.repeat(np.arange(len(some)), [len(x) for x in some])]
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[at]), *(pa.array(part[at, i]) for i in range(CHECKED))], names=["key", "node", *(f"c{i}" for i in range(CHECKED))])
-
-    columns = ", ".join(f"c{i} long" for i in range(CHECKED))
+        for whole in batches:
+            for at in range(0, len(whole), 1000):
+                batch = whole.slice(at, 1000)
+                wide = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(len(batch), -1)
+                node, part = batch.column(1).to_numpy(), np.ascontiguousarray(wide[:, : 8 * CHECKED]).view(np.int64)
+                real = np.flatnonzero(batch.column(2).to_numpy() > SHORT)
+                bits = np.zeros((len(real), len(places), 32), np.uint8)
+                bits[:, :, : places.shape[1]] = np.unpackbits(wide[real], axis=1, bitorder="little")[:, places]
+                value = np.packbits(bits, axis=2, bitorder="little").view("<u4")[:, :, 0].astype(np.int64)
+                key, i = (value * len(places) + np.arange(len(places))[None, :]).ravel(), np.repeat(real, len(places))
+                some = [np.frombuffer(x, np.int64) for x in batch.column(3).to_pylist()]
+                # keys of shingles are negative
+                key, i = np.r_[key, np.concatenate(some) | np.int64(-1 << 63)], np.r_[i, np.repeat(np.arange(len(some)), [len(x) for x in some])]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[i]), *(pa.array(part[i, k]) for k in range(CHECKED))], names=["key", "node", *parts_of])
+
+    columns = ", ".join(f"{k} long" for k in parts_of)
     rows = own.select("wide", "node", "size", "some").mapInArrow(blocks, f"key long, node long, {columns}")
-    rows = rows.repartition(c.partitions(docs.sparkSession), "key").sortWithinPartitions("key", "node")
+    rows = rows.repartition(n, "key").sortWithinPartitions("key", "node")
 
-    def compare(key, node, fp):
-        """Links within the runs of a sorted stretch: by distance in the stretch for short runs, by search for long ones."""
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.diff(np.r_[starts, len(key)])
-        a, b = [], []
-        short = np.repeat(size <= ALL_PAIRS, size)
-        for d in range(1, int(size[size <= ALL_PAIRS].max(initial=1))):
-            i = np.flatnonzero((key[:-d] == key[d:]) & short[:-d])
-            near = np.bitwise_count(fp[i] ^ fp[i + d]).sum(axis=1) <= np.where(key[i] < 0, short_most, most)
-            a.append(node[i[near]])
-            b.append(node[i[near] + d])
-        for s, k in zip(starts[size > ALL_PAIRS].tolist(), size[size > ALL_PAIRS].tolist(), strict=True):
-            own, label = fp[s : s + k], np.arange(k)
-            for limit in (firm, short_most if key[s] < 0 else most):
-                x, y = _searched(own, limit, label, run_limit)
-                a.append(node[s + x])
-                b.append(node[s + y])
-                for i, j in zip(x.tolist(), y.tolist(), strict=True):
-                    label[j] = label[i]
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        if len(a):
-            a, b = np.unique(np.stack([a, b]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    def compare(batches):
+        """(0, a, b, -) for links, (1, key, node, fingerprint) for members of runs that are too long."""
 
-    def run(batches):
-        kept: list = []  # parts of the run that may go on in the next batch
+        def links(a, b):
+            e = pa.array(np.zeros(len(a), np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a)), pa.int32()), pa.array(a), pa.array(b), *([e] * CHECKED)], names=["kind", "a", "b", *parts_of])
+
+        def settle(key, node, fp, long_run):
+            i, j = near_links(key, fp, np.where(key < 0, short_most, most))
+            if len(i):
+                yield links(*np.unique(np.stack([node[i], node[j]]), axis=1))
+            if long_run:
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(key)), pa.int32()), pa.array(key), pa.array(node), *(pa.array(fp[:, k].view(np.int64)) for k in range(CHECKED))], names=["kind", "a", "b", *parts_of])
+
+        kept, first = None, None  # the run that may go on in the next batch; the first member of a run that is too long
         for batch in batches:
             cols = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.stack([batch.column(2 + i).to_numpy() for i in range(CHECKED)], axis=1).view(_U64)]
             if not len(cols[0]):
                 continue
-            if kept and kept[0][0][0] == cols[0][-1]:
-                kept.append(cols)
-                continue
-            cols = [np.concatenate(x) for x in zip(*kept, cols, strict=True)]
-            cut = int(np.searchsorted(cols[0], cols[0][-1]))
-            if cut:
-                yield from compare(*(x[:cut] for x in cols))
-            kept = [[x[cut:] for x in cols]]
-        if kept:
-            yield from compare(*(np.concatenate(x) for x in zip(*kept, strict=True)))
-
-    pairs = rows.mapInArrow(run, "a long, b long").distinct()
-    pairs = c.checkpoint(pairs)
+            if kept is not None:
+                cols = [np.concatenate(x) for x in zip(kept, cols, strict=True)]
+            at = 0
+            if first is not None and cols[0][0] == first[0][0]:  # stretches of a long run, each with the run's first member
+                end = int(np.searchsorted(cols[0], first[0][0], side="right"))
+                while end - at > run_limit or (end < len(cols[0]) and at < end):
+                    k = min(run_limit, end - at)
+                    yield from settle(*(np.concatenate([f, x[at : at + k]]) for f, x in zip(first, cols, strict=True)), True)
+                    at += k
+                if end < len(cols[0]):
+                    first = None
+            cols = [x[at:] for x in cols]
+            cut = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
+            yield from settled(settle, cut, cols, run_limit)
+            kept = [x[cut:] for x in cols]
+            if first is None and len(kept[0]) > run_limit:
+                first = [x[:1] for x in kept]
+                yield from settle(*(x[:run_limit] for x in kept), True)
+                kept = [x[run_limit:] for x in kept]
+        if kept is not None and len(kept[0]):
+            if first is not None and kept[0][0] == first[0][0]:
+                kept = [np.concatenate(x) for x in zip(first, kept, strict=True)]
+                yield from settle(*kept, True)
+            else:
+                yield from settled(settle, len(kept[0]), kept, run_limit)
+
+    found = c.checkpoint(rows.mapInArrow(c.tidy(compare), f"kind int, a long, b long, {columns}"))
+    pairs = c.checkpoint(found.filter("kind = 0").select("a", "b").distinct())
+    long_runs = found.filter("kind = 1").select(F.col("a").alias("whole"), F.col("b").alias("node"), *parts_of).distinct()
+    any_long = not long_runs.isEmpty()
 
     def sets(batches):
         for batch in batches:
-            grams = [np.unique(shingle_hashes(x.as_buffer().to_pybytes() if x.as_buffer() is not None else b"", shingle).astype(np.uint32)).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary())], names=["node", "grams"])
+            grams = [h.astype(np.uint32) for h in _sets(batch.column(1), shingle)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(g).tobytes() for g in grams], pa.binary())], names=["node", "grams"])
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        return c.text_rows(docs, text, doc_id).join(nodes.select(F.col("node").alias("doc_id")), "doc_id").select("doc_id", "body").mapInArrow(c.tidy(sets), "node long, grams binary")
 
     def compare_sets(batches):
         for batch in batches:
             good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                m, n = len(x) // 4, len(y) // 4
-                common = len(np.intersect1d(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), assume_unique=True))
-                good.append(common >= similarity * (m + n - common))
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer() or b"", np.uint32) for v in (x, y))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(common >= similarity * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(good, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
-    named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    grams = c.text_rows(docs, text, doc_id).join(named, "doc_id").select("doc_id", "body").mapInArrow(sets, "node long, grams binary")
-    grams = c.checkpoint(grams)
+    paired = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    grams = c.checkpoint(sets_of(paired))
     both = pairs.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-    links = c.checkpoint(both.select("a", "b", "ga", "gb").mapInArrow(compare_sets, "a long, b long"))
-    # groups joined by near fingerprints that the links found so far leave in several parts: all of their members are compared
+    links = c.checkpoint(both.select("a", "b", "ga", "gb").mapInArrow(c.tidy(compare_sets), "a long, b long"))
+    named = paired.union(long_runs.select("node")).distinct() if any_long else paired
     parts = components(links).withColumnRenamed("root", "part")
-    parts = c.checkpoint(named.withColumnRenamed("doc_id", "node").join(parts, "node", "left").select("node", F.coalesce("part", "node").alias("part")))
+    parts = c.checkpoint(named.join(parts, "node", "left").select("node", F.coalesce("part", "node").alias("part")))
+
+    # groups joined by near fingerprints that the links found so far leave in several parts
     between = pairs.join(parts.select(F.col("node").alias("a"), F.col("part").alias("pa")), "a").join(parts.select(F.col("node").alias("b"), F.col("part").alias("pb")), "b")
     between = between.filter("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct()
+    if any_long:
+
+        def near_parts(batches):
+            for key, side, part, values in _tiles(batches):
+                fp = np.stack(values, axis=1).view(_U64)
+                limit = short_most if key[0] < 0 else most
+                yield from _part_links(*joined_parts(part, side, lambda x, y, fp=fp, limit=limit: np.bitwise_count(fp[y] ^ fp[x]).sum(axis=1) <= limit))
+
+        dealt = tiles(long_runs.join(parts, "node").withColumn("weight", F.lit(1)), run_limit, n, *parts_of)
+        between = between.union(dealt.mapInArrow(c.tidy(near_parts), "a long, b long")).distinct()
     broken = components(between).select(F.col("node").alias("part"), F.col("root").alias("whole"))
-    open_ = parts.join(broken, "part").join(grams, "node").select("whole", "part", "node", "grams")
-    open_ = open_.repartition(c.partitions(docs.sparkSession), "whole").sortWithinPartitions("whole", "part", "node")
+    open_ = c.checkpoint(parts.join(broken, "part").select("whole", "part", "node"))
+    members = open_.join(sets_of(open_.select("node").distinct()) if any_long else grams, "node").withColumn("weight", F.octet_length("grams") / 4)
 
     def join_parts(batches):
-        for part, grams_ in _groups(batches):
-            a, b = linked_parts(part, grams_, similarity)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        for _, side, part, (sets_,) in _tiles(batches):
+            yield from _part_links(*linked_parts(part, side, [np.frombuffer(g, np.uint32) for g in sets_], similarity))
 
-    joined = components(c.checkpoint(open_.mapInArrow(join_parts, "a long, b long"))).select(F.col("node").alias("part"), "root")
+    joined = c.checkpoint(tiles(members, STRETCH, n, "grams").mapInArrow(c.tidy(join_parts), "a long, b long"))
+    joined = components(joined).select(F.col("node").alias("part"), "root")
     roots = parts.join(joined, "part", "left").select("node", F.coalesce("root", "part").alias("component_id"))
     classes = own.join(roots, "node", "left").select("wide", F.coalesce("component_id", "node").alias("component_id"))
     return fps.join(classes, "wide", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def _searched(fp: np.ndarray, most: int, label: np.ndarray, stretch: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """Links (places) that join what is connected: breadth first, against all that is not yet reached, a stretch at a time; members of one label are reached together."""
-    rest, a, b = np.arange(len(fp)), [], []
-    while len(rest) > 1:
-        same = label[rest] == label[rest[0]]
-        queue, rest = deque(rest[same].tolist()), rest[~same]
-        while queue and len(rest):
-            now = queue.popleft()
-            near = np.concatenate([np.bitwise_count(fp[rest[at : at + stretch]] ^ fp[now]).sum(axis=1) <= most for at in range(0, len(rest), stretch)])
-            if near.any():
-                new = rest[near]
-                found, first = np.unique(label[new], return_index=True)
-                a.append(np.full(len(found), now))
-                b.append(new[first])
-                reached = np.isin(label[rest], found)
-                queue += rest[reached].tolist()
-                rest = rest[~reached]
+def settled(settle, cut: int, cols: list[np.ndarray], run_limit: int):
+    """Whole runs of a sorted stretch, of which those that are too long come by themselves."""
+    key = cols[0][:cut]
+    if not cut:
+        return
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[starts, cut])
+    good = np.repeat(size <= run_limit, size)
+    if good.any():
+        yield from settle(*(x[:cut][good] for x in cols), False)
+    for s, k in zip(starts[size > run_limit].tolist(), size[size > run_limit].tolist(), strict=True):
+        for at in range(0, k, run_limit):
+            yield from settle(*(np.concatenate([x[s : s + 1], x[max(s + at, s + 1) : min(s + at + run_limit, s + k)]]) for x in cols), True)
+
+
+def near_links(key: np.ndarray, fp: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (places) within the runs of equal keys that join whatever differs by ``most`` bits (for each place) or less: a place's first near one, and one for each group that it brings together."""
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[starts, len(key)])
+    a, b = [], []
+    few = np.repeat(size <= _SHIFTS, size)
+    for d in range(1, int(size[size <= _SHIFTS].max(initial=1))):
+        i = np.flatnonzero((key[:-d] == key[d:]) & few[:-d])
+        near = np.bitwise_count(fp[i] ^ fp[i + d]).sum(axis=1) <= most[i]
+        a.append(i[near])
+        b.append(i[near] + d)
+    i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+    order = np.lexsort((i, j))
+    i, j = i[order], j[order]
+    # a place with one near one before it needs no search; others keep what brings groups together
+    lead: dict[int, int] = {}
+    keep = np.ones(len(i), bool)
+    run = np.searchsorted(starts, i, side="right")
+    many = np.flatnonzero(np.bincount(run, minlength=len(starts) + 1)[run] > 2)
+    for k in many.tolist():
+        x, y = _lead(lead, int(i[k])), _lead(lead, int(j[k]))
+        if x == y:
+            keep[k] = False
+        else:
+            lead[y] = x
+    a, b = [i[keep]], [j[keep]]
+    for s, k in zip(starts[size > _SHIFTS].tolist(), size[size > _SHIFTS].tolist(), strict=True):
+        x, y = _tree(fp[s : s + k], int(most[s]))
+        a.append(s + x)
+        b.append(s + y)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _lead(lead: dict[int, int], x: int) -> int:
+    while x in lead:
+        x = lead[x]
+    return x
+
+
+def _tree(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """near_links() of one run."""
+    k, a, b = len(fp), [], []
+    label = np.arange(k)
+    for at in range(0, k, 64):
+        mine = fp[at : at + 64]
+        end = at + len(mine)
+        away = np.zeros((len(mine), end), np.uint16)
+        for w in range(fp.shape[1]):
+            away += np.bitwise_count(mine[:, w, None] ^ fp[None, :end, w])
+        near = (away <= most) & (np.arange(end)[None, :] < np.arange(at, end)[:, None])
+        for y in np.flatnonzero(near.any(axis=1)).tolist():
+            before = np.flatnonzero(near[y])
+            own = label[before]
+            label[at + y] = own[0]
+            a.append(before[:1])
+            if (own != own[0]).any():
+                groups, first = np.unique(own, return_index=True)
+                a[-1] = before[np.sort(first)]
+                label[:end][np.isin(label[:end], groups)] = own[0]
+            b.append(np.full(len(a[-1]), at + y))
     e = np.zeros(0, np.int64)
     return (np.concatenate(a), np.concatenate(b)) if a else (e, e)
 
 
-def _groups(batches):
-    """(parts, sets) of each run of equal first columns in sorted rows (whole, part, node, set)."""
-    whole, part, grams = None, [], []
-    for batch in batches:
-        for w, p, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), strict=True):
-            if w != whole:
-                if part:
-                    yield np.array(part), grams
-                whole, part, grams = w, [], []
-            part.append(p)
-            grams.append(np.frombuffer(g.as_py(), np.uint32))
-    if part:
-        yield np.array(part), grams
-
-
-def linked_parts(part: np.ndarray, grams: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links between parts of a group that hold two members of that Jaccard similarity or more: enough to join what is connected.
-
-    The search is exact and breadth first: each member reached is compared with all that aren't yet reached, through
-    an index of their elements, and a part is reached as a whole.
+def tiles(rows: DataFrame, limit: int, n: int, *payload: str) -> DataFrame:
+    """(whole, i, j, side, part, payload), sorted: the members of groups (whole, node, part, weight, payload) in tiles of two stretches, so that each two of different parts meet.
+
+    A stretch weighs about ``limit``.  The largest part of a group has stretches of its own, which meet the others' but
+    not each other.  side: 0 and 1 for the two stretches, 2 in a tile of one.
     """
-    size = np.array([len(g) for g in grams])
-    rest = np.ones(len(part), bool)
-    _, place = np.unique(part, return_inverse=True)
-    order = np.argsort(place, kind="stable")
-    edges = np.searchsorted(place[order], np.arange(place.max() + 2))
-    indexed = 0
-    a, b = [], []
-    for first in range(len(part)):
-        if not rest[first]:
+    each = rows.groupBy("whole", "part").agg(F.sum("weight").alias("w"))
+    sizes = each.groupBy("whole").agg(F.max_by("part", F.struct("w", "part")).alias("main"), F.max("w").alias("big"), F.sum("w").alias("all")).filter("`all` > big")
+    sizes = sizes.select("whole", "main", F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("big")) / limit)).cast("int").alias("rest"), F.greatest(F.lit(1), F.ceil(F.col("big") / limit)).cast("int").alias("big"))
+    own = rows.join(sizes, "whole")
+    lot = F.xxhash64("node", F.lit(5))
+    big = F.col("part") == F.col("main")
+    own = own.select("whole", "node", "part", *payload, "rest", "big", F.when(big, F.col("rest") + F.pmod(lot, F.col("big"))).otherwise(F.pmod(lot, F.col("rest"))).cast("int").alias("s"))
+    own = own.select("whole", "node", "part", *payload, "s", F.explode(F.sequence(F.lit(0), F.when(F.col("s") >= F.col("rest"), F.col("rest")).otherwise(F.col("rest") + F.col("big")) - 1)).alias("t"))
+    side = F.when(F.col("s") == F.col("t"), 2).when(F.col("s") < F.col("t"), 0).otherwise(1)
+    own = own.select("whole", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"), side.alias("side"), "part", "node", *payload)
+    return own.repartition(n, "whole", "i", "j").sortWithinPartitions("whole", "i", "j", "part", "node").select("whole", "i", "j", "side", "part", *payload)
+
+
+def _tiles(batches):
+    """(key, sides, parts, payload columns) of each tile in sorted rows of tiles()."""
+    key, held = None, []
+    for batch in batches:
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+        if not len(batch):
             continue
-        queue = order[edges[place[first]] : edges[place[first] + 1]].tolist()
-        rest[queue] = False
-        while queue and (left := int(rest.sum())):
-            now = queue.pop()
-            if not indexed or left < indexed // 2:
-                members = np.flatnonzero(rest)
-                element = np.concatenate([grams[i] for i in members])
-                sort = np.argsort(element, kind="stable")
-                element, owner = element[sort], np.repeat(members, size[members])[sort]
-                indexed = left
-            lo = np.searchsorted(element, grams[now])
-            held = owner[c.ranges(lo, np.searchsorted(element, grams[now], side="right") - lo)]
-            common = np.bincount(held, minlength=len(part))
-            near = rest & (common > 0) & (common >= similarity * (size + size[now] - common))
-            for p in np.unique(place[near]).tolist():
-                own = order[edges[p] : edges[p + 1]]
-                rest[own] = False
-                queue += own.tolist()
-                a.append(part[now])
-                b.append(part[own[0]])
-    return np.array(a, np.int64), np.array(b, np.int64)
+        edges = np.flatnonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in cols[:3]], axis=0), True])
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            own = tuple(int(x[a]) for x in cols[:3])
+            if own != key and held:
+                yield key, *_joined(held)
+                held = []
+            key = own
+            held.append([x[a:b] for x in cols[3:]])
+    if held:
+        yield key, *_joined(held)
+
+
+def _joined(held: list[list[np.ndarray]]):
+    side, part, *values = (np.concatenate(x) for x in zip(*held, strict=True))
+    return side, part, values
+
+
+def _part_links(a: list[int], b: list[int]):
+    if a:
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def joined_parts(part: np.ndarray, side: np.ndarray, near) -> tuple[list[int], list[int]]:
+    """Links between the parts of a tile's members that join whatever is near; near(x, places) tells which places are near x."""
+    _, label = np.unique(part, return_inverse=True)
+    second, a, b = np.flatnonzero(side != 0), [], []
+    for x in np.flatnonzero(side != 1).tolist():
+        others = second[label[second] != label[x]]
+        if len(others):
+            found = others[near(x, others)]
+            groups, first = np.unique(label[found], return_index=True)
+            a += [int(part[x])] * len(groups)
+            b += part[found[first]].tolist()
+            if len(groups):
+                label[np.isin(label, groups)] = label[x]
+    return a, b
+
+
+def linked_parts(part: np.ndarray, side: np.ndarray, grams: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """joined_parts() by the exact similarity of sets, through an index of the elements of the second stretch."""
+    size = np.array([len(g) for g in grams])
+    second = np.flatnonzero(side != 0)
+    element = np.concatenate([grams[i] for i in second]) if len(second) else np.zeros(0, np.uint32)
+    order = np.argsort(element, kind="stable")
+    element, owner = element[order], np.repeat(second, size[second])[order]
+
+    def near(x: int, others: np.ndarray) -> np.ndarray:
+        lo = np.searchsorted(element, grams[x])
+        held = owner[c.ranges(lo, np.searchsorted(element, grams[x], side="right") - lo)]
+        common = np.bincount(held, minlength=len(part))[others]
+        return (common > 0) & (common >= similarity * (size[others] + size[x] - common))
+
+    return joined_parts(part, side, near)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from gridloom.llm import simhash
 from gridloom.llm.simhash import near_duplicates, shingle_hashes
@@ -69,3 +70,76 @@ def test_room_of_the_distance():
         p = simhash.differing(m, n, common)
         least, most, slack = (1, 32, simhash.SLACK[1]) if m <= 32 else (33, 128, simhash.SLACK[0])
         assert simhash.farthest(0.8, least, most, slack) >= 256 * p + 3.5 * (256 * p * (1 - p)) ** 0.5
+
+
+def exact_components(texts, size, similarity):
+    sets = [{tuple(w[i : i + size]) for i in range(len(w) - size + 1)} for w in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("run_limit", [4096, 32])
+def test_groups_of_edited_copies(spark, run_limit):
+    """Six groups of copies, two to five words of 200 edited in each: most pairs of a group are below the similarity; with short runs, every run of a group is too long to be held."""
+    rng = random.Random(4)
+    texts = []
+    for g in range(6):
+        first = [f"g{g}w{i}" for i in range(200)]
+        texts += [edited(first, rng, rng.randint(2, 5), f"g{g}c{k}") for k in range(100)]
+    rng.shuffle(texts)
+    want, got = exact_components(texts, 5, 0.8), groups(spark, texts, run_limit=run_limit)
+    assert sum(got[i] != want[i] for i in range(len(texts))) <= 2
+
+
+def test_tree_and_tiles_join_all_that_is_near():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, (12, 4), dtype=np.uint64)
+    fp = base[rng.integers(0, 12, 400)] ^ (np.uint64(1) << rng.integers(0, 40, (400, 4), dtype=np.uint64))
+    key = np.sort(rng.integers(0, 60, 400))
+    for most in (2, 4, 6):
+        i, j = simhash.near_links(key, fp, np.full(400, most))
+        lead, want = {}, {}
+        for x in range(400):
+            for y in range(x):
+                if key[x] == key[y] and np.bitwise_count(fp[x] ^ fp[y]).sum() <= most:
+                    a, b = simhash._lead(want, x), simhash._lead(want, y)
+                    if a != b:
+                        want[max(a, b)] = min(a, b)
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            assert x < y and key[x] == key[y] and np.bitwise_count(fp[x] ^ fp[y]).sum() <= most
+            a, b = simhash._lead(lead, x), simhash._lead(lead, y)
+            assert a != b  # no link too many
+            lead[max(a, b)] = min(a, b)
+        assert [simhash._lead(lead, x) for x in range(400)] == [simhash._lead(want, x) for x in range(400)]
+
+
+def test_members_of_different_parts_share_a_tile(spark):
+    rows = [(w, n, 0 if n < 30 else n % 5, 1) for w, size in ((1, 60), (2, 7), (3, 40)) for n in range(size)] + [(4, n, 9, 1) for n in range(20)]
+    got = simhash.tiles(spark.createDataFrame(rows, "whole long, node long, part long, weight long"), 8, 4, "node").collect()
+    met = set()
+    tiles: dict = {}
+    for r in got:
+        tiles.setdefault((r.whole, r.i, r.j), []).append(r)
+    for (w, _, _), own in tiles.items():
+        assert len(own) <= 40
+        met |= {(w, x.node, y.node) for x in own for y in own if x.side != 1 and y.side != 0}
+    for w, a, p, _ in rows:
+        for v, b, q, _ in rows:
+            if v == w and p != q:
+                assert (w, a, b) in met or (w, b, a) in met
+    assert not any(r.whole == 4 for r in got)
+
+
+def test_blocks_widen_with_the_number_of_documents():
+    rng = np.random.default_rng(6)
+    p = simhash.angle_bits(0.8, 1 << 20) / (1 << 20)
+    for count, width in ((0, 16), (1000, 16), (1 << 26, 16), (1 << 28, 20), (1 << 33, 24)):
+        places = simhash.block_places(count, 0.8)
+        assert places.shape[1] == width and all(len(set(b)) == width for b in places.tolist())
+        met = np.mean([(rng.random(1024) < 1 - p)[places].all(axis=1).any() for _ in range(2000)])
+        assert met > 0.985
+    assert simhash.block_places(10, 0.8)[:, 0].tolist() == list(range(0, 1024, 16))
