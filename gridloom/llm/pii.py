@@ -1,35 +1,39 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word shapes that adds to them.
 
 The field is trained by maximum likelihood (forward-backward, Adam) from a small labelled table on the driver and
-sent out with the code: its size depends on the labelled table only.  A token with no digit, @ or + that is more than
-``REACH`` tokens away from one that has any is O by definition of the model, so Viterbi runs on the stretches between
-such tokens; they are exact under that rule and decoded together in numpy, padded to the longest of similar length.
+sent out with the code: its size depends on the labelled table only.  It reads every token of every text.  Scores of distinct
+tokens are made once and gathered by number.  Most tokens are O beyond doubt: no run of other tags through them could gain what
+they cost, whatever stands around (``doubtful``).  Viterbi, in numpy, decodes the runs of tokens between those, many at a
+time; the result is that of decoding whole texts.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from gridloom.llm import _common as c
+from gridloom.llm.substring_dedup import words_and_places
 
 #: Kinds in the order in which equal starts are listed.
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-REACH = 2
+#: Bytes of text that are decoded together.
+DECODE_BYTES = 1 << 20
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-_MARKED = re.compile(r"[0-9@+]")
+_DIGIT, _DIGITS, _LETTERS, _SAME = re.compile("[0-9]"), re.compile("[0-9]+"), re.compile(r"[^\W\d_]+"), re.compile(r"(.)\1+", re.DOTALL)
+_CODE, _DASHED, _DOTTED = re.compile("[A-Za-z0-9_]+"), re.compile(r"[0-9]+(-[0-9]+)+"), re.compile(r"[0-9]+(\.[0-9]+)+")
 _SPECIAL = np.zeros(256, bool)
 _SPECIAL[[ord(x) for x in "0123456789@+"]] = True
 _EDGE = ".,;:!?\"'()[]{}<>#$%&*|"
@@ -84,15 +88,20 @@ def listed(spans: Iterable[Span]) -> str:
 
 
 def shape(token: str) -> str:
-    """The token with runs of capitals, other letters and digits as A, a and 9; at most 24 characters."""
-    s = "".join("9" if x in "0123456789" else ("A" if x.isupper() else "a") if x.isalpha() else x for x in token[:200].strip(_EDGE) or token[:1])
-    return re.sub(r"(.)\1+", r"\1", s)[:24]
+    """The token with runs of capitals, of other letters and of digits as A, a and 9; tokens of more than 24 such runs are ~."""
+    s = _DIGITS.sub("9", token.strip(_EDGE) or token[:1])
+    s = _LETTERS.sub(lambda m: "".join("A" if upper else "a" for upper, _ in groupby(m[0], str.isupper)), s)
+    s = _SAME.sub(r"\1", s)
+    return s if len(s) <= 24 else "~"
 
 
 def features(token: str) -> list[str]:
     """Word-shape features of one token."""
-    core = token[:200].strip(_EDGE)
-    digits = sum(x in "0123456789" for x in core)
+    core = token.strip(_EDGE)
+    if core.isalpha() and (core.islower() or core.isupper()):  # most tokens: what follows would give the same
+        size = min(len(core), 40)
+        return [f"s:{'a' if core.islower() else 'A'}", "d:0", f"l:{size if size < 6 else size // 4 * 4 + 100}", *(["round"] if token[:1] == "(" and token[-1:] == ")" else [])]
+    digits = len(_DIGIT.findall(core))
     size = min(len(core), 40)
     out = [f"s:{shape(token)}", f"d:{min(digits, 20) if digits < 4 or digits > 8 else 'mid'}", f"l:{size if size < 6 else size // 4 * 4 + 100}"]
     if "@" in core:
@@ -101,12 +110,12 @@ def features(token: str) -> list[str]:
         out.append("plus")
     if token[:1] == "(" and token[-1:] == ")":
         out.append("round")
-    if size >= 16 and digits >= 3 and re.fullmatch(r"[A-Za-z0-9_]+", core) and digits < size:
+    if size >= 16 and digits >= 3 and digits < len(core) and _CODE.fullmatch(core):
         out.append("code")
-    if re.fullmatch(r"[0-9]+(-[0-9]+)+", core):
-        out.append("dashed:" + "-".join(str(min(len(x), 6)) for x in core.split("-")[:4]))
-    if re.fullmatch(r"[0-9]+(\.[0-9]+)+", core):
-        out.append(f"dotted:{core.count('.')}")
+    if _DASHED.fullmatch(core):
+        out.append("dashed:" + ("-".join(str(min(len(x), 6)) for x in core.split("-")) if core.count("-") < 4 else "many"))
+    if _DOTTED.fullmatch(core):
+        out.append(f"dotted:{min(core.count('.'), 9)}")
     return out
 
 
@@ -121,6 +130,11 @@ def labelled_table(n: int = 500, seed: int = 7) -> list[tuple[list[str], list[st
         w = "".join(rng.choice(list("abcdefghilmnoprstu"), rng.integers(1, 9)))
         return w.capitalize() if rng.random() < 0.15 else w
 
+    def plain_word():
+        """Words of any length and case."""
+        w = word() + (word() + word() * (rng.random() < 0.3) if rng.random() < 0.15 else "")
+        return w.upper() if rng.random() < 0.1 else w
+
     def pick(*options):
         return options[rng.integers(len(options))]
 
@@ -148,7 +162,7 @@ def labelled_table(n: int = 500, seed: int = 7) -> list[tuple[list[str], list[st
         tokens, tags = [], []
         for _ in range(rng.integers(1, 4)):
             for _ in range(rng.integers(0, 4)):
-                tokens.append(word() + pick("", "", "", ".", ",", "###", "!!"))
+                tokens.append(plain_word() + pick("", "", "", ".", ",", "###", "!!"))
                 tags.append("O")
             if rng.random() < 0.5:
                 kind = KINDS[rng.integers(len(KINDS))]
@@ -164,7 +178,7 @@ def labelled_table(n: int = 500, seed: int = 7) -> list[tuple[list[str], list[st
                 tokens += own
                 tags += ["O"] * len(own)
         for _ in range(rng.integers(1, 4)):
-            tokens.append(word())
+            tokens.append(plain_word())
             tags.append("O")
         out.append((tokens, tags))
     return out
@@ -183,10 +197,12 @@ class Field:
                 for i in range(k + 1):
                     if i == k or tags[i][1:] != t[1:]:
                         self.ban[i, j] = -1e4
-        self.memo: dict[tuple[str, str], np.ndarray] = {}
+        self.known: dict[int, int] = {}  # from the hash of a token to its row of scores, which tokens of equal features share
+        self.rows: dict[tuple[str, ...], int] = {}
+        self.scores = np.zeros((0, 3, len(tags)))
 
     def __getstate__(self):
-        return self.__dict__ | {"memo": {}}
+        return self.__dict__ | {"known": {}, "rows": {}, "scores": self.scores[:0]}
 
     def _names(self, tokens: list[str], i: int) -> list[str]:
         out = ["c:" + f for f in features(tokens[i])]
@@ -240,52 +256,95 @@ class Field:
         self.weight, self.trans = weight[:-1], step + self.ban
         return self
 
-    def _score(self, side: str, token: str) -> np.ndarray:
-        key = (side, token)
-        if (got := self.memo.get(key)) is None:
-            at = [self.index[f] for f in ((f"{side}:{f}" for f in features(token)) if token else (f"{side}:{'^' if side == 'p' else '$'}",)) if f in self.index]
-            got = self.weight[at].sum(axis=0)
-            if len(self.memo) >= 100_000:
-                self.memo.clear()
-            self.memo[key] = got
-        return got
-
-    def emissions(self, tokens: list[str]) -> np.ndarray:
-        n = len(tokens)
-        return np.stack([self._score("c", tokens[i]) + self._score("p", tokens[i - 1] if i else "") + self._score("n", tokens[i + 1] if i + 1 < n else "") for i in range(n)])
-
-    def decode(self, sequences: list[list[str]]) -> list[list[str]]:
-        """The likeliest tags of each sequence (Viterbi, many sequences at a time)."""
-        out: list[list[str]] = [[] for _ in sequences]
-        by = sorted((i for i, s in enumerate(sequences) if s), key=lambda i: len(sequences[i]))
+    def of(self, found: tuple[str, ...]) -> np.ndarray:
+        """What a token of these features scores as the one itself, as the one before and as the one after, for each tag."""
+        return np.stack([self.weight[[self.index[f"{side}:{f}"] for f in found if f"{side}:{f}" in self.index]].sum(axis=0) for side in "cpn"])
+
+    def edge(self, name: str) -> np.ndarray:
+        return self.weight[self.index[name]] if name in self.index else np.zeros(len(self.tags))
+
+    def emissions(self, words: np.ndarray, token_of, starts: np.ndarray) -> np.ndarray:
+        """The score of each tag for each token of some texts; words: a hash of each token, token_of(i): the token, starts: the first of each text."""
+        distinct, first, which = np.unique(words, return_index=True, return_inverse=True)
+        if len(self.known) > 200_000 or len(self.rows) > 20_000:
+            self.known, self.rows, self.scores = {}, {}, self.scores[:0]
+        place = np.array([self.known.get(h, -1) for h in distinct.tolist()], np.int64)
+        new, made = np.flatnonzero(place < 0), []
+        for i, j, h in zip(new.tolist(), first[new].tolist(), distinct[new].tolist(), strict=True):
+            found = tuple(features(token_of(j)))
+            if found not in self.rows:
+                self.rows[found] = len(self.rows)
+                made.append(self.of(found))
+            self.known[h] = place[i] = self.rows[found]
+        if made:
+            self.scores = np.concatenate([self.scores, np.stack(made)])
+        at = place[which]
+        out = self.scores[at, 0]
+        edge = np.zeros(len(words) + 1, bool)
+        edge[starts], edge[-1] = True, True
+        before, after = np.flatnonzero(~edge[:-1]), np.flatnonzero(~edge[1:])
+        out[before] += self.scores[at[before - 1], 1]
+        out[after] += self.scores[at[after + 1], 2]
+        out[edge[:-1]] += self.edge("p:^")
+        out[edge[1:]] += self.edge("n:$")
+        return out
+
+    def doubtful(self, emit: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Which tokens might not be O in the likeliest tags.
+
+        Take a run of tokens that aren't O and make them O.  That changes the score by at most the sum over the run of what
+        each token's best other tag and the step to it score more than O, and a constant.  If no run through a token can
+        reach 0, its tag is O.  The best runs that end before it and begin after it are found by running sums.
+        """
+        step, k = self.trans, len(self.tags)
+        inner = step[1:k, 1:].max() - step[0, 0]
+        enter = max((step[a, 1:] - step[a, 0]).max() for a in (0, k))
+        gain = emit[:, 1:].max(axis=1) - emit[:, 0] + inner
+        constant = enter - inner + max((step[1:k, 0] - step[0, 0]).max(), 0.0)
+        # between texts stands a token that no run can pass
+        at = np.arange(len(gain)) + np.searchsorted(starts, np.arange(len(gain)), side="right")
+        line = np.full(len(gain) + len(starts) + 1, -1.0 - np.maximum(gain, 0).sum())
+        line[at] = gain
+
+        def best_to(x: np.ndarray) -> np.ndarray:
+            total = np.cumsum(x)
+            return total - np.minimum.accumulate(np.minimum(total, 0))
+
+        left, right = best_to(line), best_to(line[::-1])[::-1]
+        return gain + left[at - 1] + right[at + 1] + constant > -1e-6
+
+    def decode(self, emit: np.ndarray, starts: np.ndarray, sure: bool = True) -> np.ndarray:
+        """The likeliest tags (numbers) of the tokens of some texts (Viterbi, many runs of tokens at a time); ``sure`` leaves out what is O beyond doubt."""
+        n, k = len(emit), len(self.tags)
+        tags = np.zeros(n, np.int8)
+        open_ = self.doubtful(emit, starts) if sure else np.ones(n, bool)
+        head = np.zeros(n, bool)
+        head[starts[starts < n]] = True
+        begin = np.flatnonzero(open_ & (head | ~np.r_[False, open_[:-1]]))
+        end = np.flatnonzero(open_ & np.r_[head[1:] | ~open_[1:], True]) + 1 if n else begin
+        size = end - begin
+        by = np.argsort(size, kind="stable")
         at = 0
         while at < len(by):
-            size = 1
-            while at + size < len(by) and len(sequences[by[at + size]]) * (size + 1) <= 50_000 and len(sequences[by[at + size]]) <= 2 * len(sequences[by[at]]) + 8:
-                size += 1
-            own = by[at : at + size]
-            at += size
-            longest, k = len(sequences[own[-1]]), len(self.tags)
-            emit = np.zeros((len(own), longest, k))
-            for r, i in enumerate(own):
-                emit[r, : len(sequences[i])] = self.emissions(sequences[i])
-            best = self.trans[k] + emit[:, 0]
+            limit = max(1, min(50_000 // int(size[by[at]]), int(np.searchsorted(size[by], 2 * size[by[at]] + 8, side="right")) - at))
+            own = by[at : at + limit]
+            at += len(own)
+            length, longest = size[own], int(size[own[-1]])
+            place = np.minimum(begin[own][:, None] + np.arange(longest)[None, :], n - 1)
             back = np.zeros((len(own), longest, k), np.int8)
-            length = np.array([len(sequences[i]) for i in own])
+            best = np.where(head[begin[own]][:, None], self.trans[k], self.trans[0]) + emit[begin[own]]
             for t in range(1, longest):
                 step = best[:, :, None] + self.trans[None, :k]
-                back[:, t] = step.argmax(axis=1)
                 live = (t < length)[:, None]
-                back[:, t] = np.where(live, back[:, t], np.arange(k))
-                best = np.where(live, step.max(axis=1) + emit[:, t], best)
-            last = best.argmax(axis=1)
-            path = np.zeros((len(own), longest), int)
+                back[:, t] = np.where(live, step.argmax(axis=1), np.arange(k))
+                best = np.where(live, step.max(axis=1) + emit[place[:, t]], best)
+            closed = (end[own] < n) & ~head[np.minimum(end[own], n - 1)]  # O stands after it
+            last = (best + np.where(closed[:, None], self.trans[:k, 0], 0.0)).argmax(axis=1)
             for t in range(longest - 1, -1, -1):
-                path[:, t] = last
+                live = t < length
+                tags[place[live, t]] = last[live]
                 last = back[np.arange(len(own)), t, last]
-            for r, i in enumerate(own):
-                out[i] = [self.tags[x] for x in path[r, : length[r]]]
-        return out
+        return tags
 
 
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -293,62 +352,68 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
 
 
-def stretches(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of tokens (start, end) that are at most REACH tokens away from one with a digit, @ or +."""
-    tokens = [m.span() for m in _TOKEN.finditer(text)]
-    near: set[int] = set()
-    for i, (a, b) in enumerate(tokens):
-        if _MARKED.search(text, a, b):
-            near.update(range(max(0, i - REACH), min(len(tokens), i + REACH + 1)))
-    out: list[list[tuple[int, int]]] = []
-    last = -2
-    for i in sorted(near):
-        if i != last + 1:
-            out.append([])
-        out[-1].append(tokens[i])
-        last = i
-    return out
-
-
-def spans_of(tags: list[str], places: list[tuple[int, int]], text: str) -> list[Span]:
-    """The spans that tags describe, without punctuation at either end; numbers that fail the card checksum are no cards."""
-    out: list[Span] = []
-    i = 0
-    while i < len(tags):
-        if tags[i][0] != "B":
-            i += 1
-            continue
-        j = i + 1
-        while j < len(tags) and tags[j] == "I" + tags[i][1:]:
-            j += 1
-        a, b = places[i][0], places[j - 1][1]
-        whole = text[a:b]
-        left, right = len(whole) - len(whole.lstrip(_EDGE)), len(whole) - len(whole.rstrip(_EDGE))
-        if left and whole[left - 1] == "(" and ")" in whole[left:]:
-            left -= 1
-        if left + right < len(whole):
-            span = (a + left, b - right, tags[i][2:])
-            if span[2] != "card" or _is_card(text[span[0] : span[1]]):
-                out.append(span)
-        i = j
-    return out
+def span_of(a: int, b: int, kind: str, text: str) -> list[Span]:
+    """The span that tags describe, without punctuation at either end, if anything is left; numbers that fail the card checksum are no cards."""
+    whole = text[a:b]
+    left, right = len(whole) - len(whole.lstrip(_EDGE)), len(whole) - len(whole.rstrip(_EDGE))
+    if left and whole[left - 1] == "(" and ")" in whole[left:]:
+        left -= 1
+    if left + right >= len(whole) or (kind == "card" and not _is_card(text[a + left : b - right])):
+        return []
+    return [(a + left, b - right, kind)]
 
 
 def find_spans(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, all spans) of each text: base spans stay, and what the field finds elsewhere is added."""
-    base = [base_spans(t) for t in texts]
-    own = [stretches(t) for t in texts]
-    tags = iter(field.decode([[texts[i][a:b] for a, b in s] for i, x in enumerate(own) for s in x]))
+    bodies = [t.encode() for t in texts]
+    offsets = np.r_[0, np.cumsum([len(b) for b in bodies])].astype(np.int64)
+    return _spans(offsets, np.frombuffer(b"".join(bodies), np.uint8), field)
+
+
+def _spans(offsets: np.ndarray, data: np.ndarray, field: Field) -> list[tuple[list[Span], list[Span]]]:
+    """find_spans() of texts as bytes."""
+    n, raw = len(offsets) - 1, data.tobytes()
+    seen = np.r_[0, np.cumsum(_SPECIAL[data])]
+    marked = seen[offsets[1:]] > seen[offsets[:-1]]  # base spans have a digit, @ or +
+    words, counts, first, last = words_and_places(c.Texts(np.zeros(n, np.int64), offsets, data, np.zeros(n, np.uint32)))
+    starts = (np.cumsum(counts) - counts)[counts > 0]
+    tags = np.zeros(0, np.int8)
+    if len(words):
+        emit = field.emissions(words, lambda i: raw[first[i] : last[i]].decode(), starts)
+        tags = field.decode(emit, starts)
+    doc = np.repeat(np.arange(n), counts)
+    names = field.tags
+    begins = np.flatnonzero(np.array([t[0] == "B" for t in names])[tags]) if len(tags) else np.zeros(0, int)
+    found: dict[int, list[int]] = {}
+    for i in begins.tolist():
+        found.setdefault(int(doc[i]), []).append(i)
+    edges = np.r_[0, np.cumsum(counts)]
     out = []
-    for i, text in enumerate(texts):
-        more = [s for places in own[i] for s in spans_of(next(tags), places, text)]
-        more = [s for s in more if not any(a < s[1] and s[0] < b for a, b, _ in base[i])] if len(base[i]) * len(more) < 10_000 else _apart(more, base[i])
-        out.append((base[i], sorted(base[i] + more, key=lambda s: (s[0], KINDS.index(s[2])))))
+    for d in range(n):
+        if not marked[d] and d not in found:
+            out.append(([], []))
+            continue
+        body = raw[offsets[d] : offsets[d + 1]]
+        text = body.decode()
+        base = base_spans(text) if marked[d] else []
+        more: list[Span] = []
+        if d in found:
+            # code points before each byte
+            points = np.r_[0, np.cumsum((data[offsets[d] : offsets[d + 1]] & 0xC0) != 0x80)]
+            for i in found[d]:
+                j = i + 1
+                while j < edges[d + 1] and names[tags[j]] == "I" + names[tags[i]][1:]:
+                    j += 1
+                more += span_of(int(points[first[i] - offsets[d]]), int(points[last[j - 1] - offsets[d]]), names[tags[i]][2:], text)
+            more = _apart(more, base)
+        out.append((base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))))
     return out
 
 
 def _apart(spans: list[Span], base: list[Span]) -> list[Span]:
     """Those of ``spans`` that touch no base span."""
+    if not base:
+        return spans
     starts = np.array([b[0] for b in base])
     reach = np.maximum.accumulate(np.array([b[1] for b in base]))
     out = []
@@ -382,30 +447,32 @@ def redact(text: str, spans: list[Span]) -> str:
 def pii(docs: DataFrame, field: Field | None = None, doc_id: str = "doc_id", text: str = "text", with_text: bool = True, with_row: bool = False) -> DataFrame:
     """Finds personal data: doc_id, n_email, n_ip, n_card, n_phone (base spans), base and spans (``kind:start:end``, comma-joined), redacted (the text with each span as <kind>).
 
-    Offsets are in code points, ends exclusive.  Null texts count as empty, and texts without any digit, @ or + have no
-    spans.  Repeated rows and rows without doc_id are kept; other columns are ignored, whatever their names.
+    Offsets are in code points, ends exclusive.  Null texts count as empty and have no spans; long texts count whole.  Repeated
+    rows and rows without doc_id are kept; an empty table gives an empty result; other columns are ignored, whatever their names.
     ``with_text`` leaves out redacted if false; ``with_row`` adds the row itself as a struct.
     """
     field = field or default_field()
     kinds = {**{f"n_{k}": pa.int64() for k in BASE_KINDS}, "base": pa.string(), "spans": pa.string(), **({"redacted": pa.string()} if with_text else {})}
 
     def run(batches):
-        for batch in batches:
-            offsets, data = c.binary_parts(batch.column(1))
-            seen = np.r_[0, np.cumsum(_SPECIAL[data])]
-            marked = np.flatnonzero(seen[offsets[1:]] > seen[offsets[:-1]]).tolist()
-            texts = [data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in marked]
-            cols: dict[str, list] = {k: [0] * len(batch) for k in kinds if k[:2] == "n_"} | {"base": [""] * len(batch), "spans": [""] * len(batch)}
-            if with_text:
-                cols["redacted"] = batch.column(1).cast(pa.string()).to_pylist()
-            for i, t, (base, spans) in zip(marked, texts, find_spans(texts, field), strict=True):
-                for _, _, k in base:
-                    cols[f"n_{k}"][i] += 1
-                cols["base"][i], cols["spans"][i] = listed(base), listed(spans)
-                if with_text:
-                    cols["redacted"][i] = redact(t, spans)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(cols[k], t) for k, t in kinds.items()), *(batch.column(i) for i in range(2, batch.num_columns))], names=["doc_id", *kinds, *batch.schema.names[2:]])
+        for whole in batches:
+            sizes, at = np.diff(c.binary_parts(whole.column(1))[0]), 0
+            while at < len(whole):
+                n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), DECODE_BYTES, side="right")))
+                batch = whole.slice(at, n)
+                at += n
+                cols: dict[str, list] = {k: [] for k in kinds}
+                for i, (base, spans) in enumerate(_spans(*c.binary_parts(batch.column(1)), field)):
+                    for kind in BASE_KINDS:
+                        cols[f"n_{kind}"].append(sum(k == kind for _, _, k in base))
+                    cols["base"].append(listed(base))
+                    cols["spans"].append(listed(spans))
+                    if with_text:
+                        text = batch.column(1)[i].as_buffer()
+                        text = text.to_pybytes().decode() if text is not None else ""
+                        cols["redacted"].append(redact(text, spans) if spans else text)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(cols[k], t) for k, t in kinds.items()), *(batch.column(i) for i in range(2, batch.num_columns))], names=["doc_id", *kinds, *batch.schema.names[2:]])
 
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string" + (", redacted string" if with_text else "")
     row, own = c.whole_row(docs)
-    return c.text_rows(docs, text, doc_id, *([row] if with_row else [])).mapInArrow(run, c.schema_of(schema, *([own] if with_row else [])))
+    return c.text_rows(docs, text, doc_id, *([row] if with_row else [])).mapInArrow(c.tidy(run), c.schema_of(schema, *([own] if with_row else [])))

@@ -35,6 +35,11 @@ _HASHES, _PLACES, _TEXTS = 0, 1, 9
 
 def words_of(texts: c.Texts) -> tuple[np.ndarray, np.ndarray]:
     """(a 64-bit hash of each word of all the documents, in order; the number of words of each document)."""
+    return words_and_places(texts)[:2]
+
+
+def words_and_places(texts: c.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """words_of(), and the first byte of each word and the byte after it."""
     n = len(texts)
     offsets, data = texts.offsets, texts.data
     size = len(data) + n
@@ -59,7 +64,8 @@ def words_of(texts: c.Texts) -> tuple[np.ndarray, np.ndarray]:
         active, at = active[left > 8], at + 8
     for i in np.flatnonzero(length > 256):
         h[i] = xxhash.xxh64_intdigest(buf[first[i] : last[i]].tobytes(), 7)
-    return h, counts
+    shift = np.repeat(np.arange(n), counts)  # a blank stands after each document
+    return h, counts, first - shift, last - shift
 
 
 def windows_of(h: np.ndarray, counts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -123,9 +124,22 @@ def test_base_spans_long():
         assert len(pii.base_spans(text)) >= 0
 
 
+def scored(field, sequences):
+    words = [w for s in sequences for w in s]
+    starts = np.cumsum([0, *(len(s) for s in sequences)])[:-1]
+    hashes = np.array([xxhash.xxh64_intdigest(w.encode()) for w in words], np.uint64)
+    return field.emissions(hashes, lambda i: words[i], starts), starts
+
+
+def decoded(field, sequences):
+    tags = [field.tags[t] for t in field.decode(*scored(field, sequences))]
+    cuts = np.cumsum([0, *(len(s) for s in sequences)]).tolist()
+    return [tags[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def test_field_on_unseen_examples():
     field, table = pii.default_field(), pii.labelled_table(300, seed=99)
-    tags = field.decode([w for w, _ in table])
+    tags = decoded(field, [w for w, _ in table])
     assert np.mean([a == b for t, (_, g) in zip(tags, table, strict=True) for a, b in zip(t, g, strict=True)]) > 0.97
     again = pii.Field().train(pii.labelled_table())
     assert np.array_equal(again.weight, field.weight)
@@ -134,10 +148,39 @@ def test_field_on_unseen_examples():
 def test_viterbi_is_best():
     field = pii.default_field()
     words = ["call", "+1", "(017)", "555-7713", "now"]
-    emit, trans = field.emissions(words), field.trans
+    (emit, _), trans = scored(field, [words]), field.trans
+    names = [[*(f"c:{f}" for f in pii.features(w)), *([f"p:{f}" for f in pii.features(words[i - 1])] if i else ["p:^"]), *([f"n:{f}" for f in pii.features(words[i + 1])] if i + 1 < len(words) else ["n:$"])] for i, w in enumerate(words)]
+    assert np.allclose(emit, [sum(field.weight[field.index[f]] for f in own if f in field.index) for own in names])
     k = len(field.tags)
     best = max(((sum(emit[i, t] for i, t in enumerate(p)) + trans[k, p[0]] + sum(trans[a, b] for a, b in zip(p, p[1:], strict=False))), p) for p in np.ndindex(*(k,) * len(words)))[1]
-    assert field.decode([words]) == [[field.tags[t] for t in best]]
+    assert decoded(field, [words]) == [[field.tags[t] for t in best]]
+
+
+def test_leaving_out_what_is_o_beyond_doubt_changes_nothing():
+    field, rng = pii.default_field(), np.random.default_rng(10)
+    found = 0
+    for scale in (0.5, 2.0, 6.0):
+        for _ in range(40):
+            starts = np.cumsum([0, *rng.integers(1, 60, 8)])
+            emit = rng.standard_normal((int(starts[-1]) + 30, len(field.tags))) * scale
+            emit[:, 0] += rng.choice([0.0, 4.0, 14.0], len(emit))
+            tags = field.decode(emit, starts)
+            assert np.array_equal(tags, field.decode(emit, starts, sure=False))
+            found += int((~field.doubtful(emit, starts)).sum())
+    assert found > 500
+    table = [w for w, _ in pii.labelled_table(200, seed=5)]
+    emit, starts = scored(field, [[w for s in table[i : i + 20] for w in s] for i in range(0, 200, 20)])
+    assert np.array_equal(field.decode(emit, starts), field.decode(emit, starts, sure=False))
+
+
+@given(st.text(alphabet="aZé9_-.(@+~#\u00b2", max_size=30))
+@settings(max_examples=300, deadline=None)
+def test_shape(token):
+    core = token.strip(pii._EDGE) or token[:1]
+    kinds = ["9" if x in "0123456789" else ("A" if x.isupper() else "a") if re.fullmatch(r"[^\W\d_]", x) else x for x in core]
+    runs = "".join(x for i, x in enumerate(kinds) if not i or kinds[i - 1] != x)
+    assert pii.shape(token) == (runs if len(runs) <= 24 else "~")
+    assert f"s:{pii.shape(token)}" in pii.features(token) or not token.strip(pii._EDGE)
 
 
 def test_pii(spark):
