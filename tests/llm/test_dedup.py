@@ -15,7 +15,7 @@ from gridloom.llm import _common as c
 from gridloom.llm import queries as q
 from gridloom.llm.components import components
 from gridloom.llm.simhash import fingerprint_links, linked, near_duplicates, signed, simhash_near_duplicates
-from gridloom.llm.substring_dedup import substring_dedup, without
+from gridloom.llm.substring_dedup import runs_of, substring_dedup, without
 from gridloom.llm.suffix_dedup import shared_contexts, suffix_classes, suffix_dedup
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("body", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("score", T.DoubleType())])
@@ -83,6 +83,16 @@ def test_substring_dedup(spark, window):
         assert r.n_removed == sum(s.end - s.start for s in r.removed) and r.left.split() == r.kept.split()
 
 
+def test_runs_of():
+    rng = np.random.default_rng(11)
+    for kinds in (1, 3):
+        key, check = rng.integers(0, 40, 300, dtype=np.uint64), rng.integers(0, kinds, 300).astype(np.uint16)
+        order, starts = runs_of(key, check)
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), 300], strict=True):
+            assert len({(key[i], check[i]) for i in order[a:b]}) == 1
+        assert len(starts) == len(set(zip(key.tolist(), check.tolist(), strict=True)))
+
+
 def test_suffix_dedup(spark):
     rows = awkward(1)
     got = suffix_dedup(spark.createDataFrame(rows, SCHEMA).repartition(5))
