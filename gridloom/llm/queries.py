@@ -94,7 +94,8 @@ _WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
 
 
 
-def _url_sql(depth: int = 4) -> str:
+def _url_sql(depth: int = 8) -> str:
+    """The tree of paths of up to ``depth`` segments (those of pages have 3 at most; the operator goes as deep as paths do)."""
     fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, kind) for kind, h, p in sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))]
     rule = "CASE " + " ".join(f"WHEN {f} THEN '{r}'" for f, r, _ in fits) + " END"
     by_rule = "CASE " + " ".join(f"WHEN {f} THEN '{k}'" for f, _, k in fits) + " END"
@@ -117,7 +118,7 @@ WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, str
  t{k} AS (SELECT s.host, s.form, CASE WHEN s.seg IS NULL THEN s.template ELSE s.template || '/' || m.name END AS template, segs, pages, labelled, bad
    FROM s{k} s LEFT JOIN m{k} m ON s.host = m.host AND s.template = m.template AND s.seg = m.seg)"""
     return sql + f""",
- f AS (SELECT host, form, CASE WHEN len(segs) > {depth + 1} THEN template || '/**' ELSE template END AS template, labelled, bad FROM t{depth}),
+ f AS (SELECT host, form, template, labelled, bad FROM t{depth}),
  g AS (SELECT host, template, (sum(bad) + 2) / (sum(labelled) + 4) AS purity FROM f GROUP BY ALL)
 SELECT page_id, r.host, path, rule, coalesce(by_rule, CASE WHEN purity >= 0.7 THEN 'block' ELSE 'allow' END) AS verdict
 FROM r JOIN f ON r.host = f.host AND r.form = f.form JOIN g ON f.host = g.host AND f.template = g.template

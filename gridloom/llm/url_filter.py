@@ -51,18 +51,26 @@ def path_form(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(path, r"[0-9a-f]{16,}", "#"), r"[0-9]+", "#"), r"[^/]{33,}", "~")
 
 
-def templates(forms: DataFrame, depth: int = 4, min_pages: int = 4, min_share: float = 0.02, similar: float = 3.84) -> DataFrame:
+def templates(forms: DataFrame, min_pages: int = 4, min_share: float = 0.02, similar: float = 3.84) -> DataFrame:
     """(host, form, template, labelled, bad) for each row of ``forms`` (host, form, pages, labelled, bad: counts).
 
     A segment stays literal if at least ``min_pages`` and ``min_share`` of its node's pages have it and its labels differ
-    from its siblings' (z squared of ``similar`` or more) or can't be compared; else it is *.  Segments beyond ``depth``
-    are one **.
+    from its siblings' (z squared of ``similar`` or more) or can't be compared; else it is *.  Below a node of fewer than
+    ``min_pages`` pages all segments are *, so the tree grows level by level only as long as larger nodes have segments left.
     """
+    grown, k = None, 0
     t = forms.withColumn("segs", F.split(F.col("form"), "/")).withColumn("template", F.lit(""))
-    for k in range(1, depth + 1):
-        seg = F.when(F.size("segs") > k, F.get("segs", F.lit(k)))
-        t = t.withColumn("seg", seg)
-        node = t.filter("seg is not null").groupBy("host", "template", "seg").agg(F.sum("pages").alias("n"), F.sum("labelled").alias("ln"), F.sum("bad").alias("lb"))
+    while True:
+        k += 1
+        # what ends here, and what lies in nodes that are too small to have literal segments
+        size = t.groupBy("host", "template").agg(F.sum("pages").alias("of"))
+        t = t.join(size, ["host", "template"])
+        done = (F.size("segs") <= k) | (F.col("of") < min_pages)
+        rest = F.concat(F.col("template"), F.repeat(F.lit("/*"), F.greatest(F.lit(0), F.size("segs") - k)))
+        ended = t.filter(done).select("host", "form", rest.alias("template"), "labelled", "bad")
+        grown = ended if grown is None else grown.union(ended)
+        t = t.filter(~done).drop("of").withColumn("seg", F.get("segs", F.lit(k)))
+        node = t.groupBy("host", "template", "seg").agg(F.sum("pages").alias("n"), F.sum("labelled").alias("ln"), F.sum("bad").alias("lb"))
         whole = node.groupBy("host", "template").agg(F.sum("n").alias("an"), F.sum("ln").alias("al"), F.sum("lb").alias("ab"))
         n1, n2 = F.col("ln").cast("double"), (F.col("al") - F.col("ln")).cast("double")
         p1, p2, p = F.try_divide("lb", n1), F.try_divide(F.col("ab") - F.col("lb"), n2), F.try_divide("ab", "al")
@@ -70,11 +78,11 @@ def templates(forms: DataFrame, depth: int = 4, min_pages: int = 4, min_share: f
         same = (n1 > 0) & (n2 > 0) & ((F.col("ab") == 0) | (F.col("ab") == F.col("al")) | (z2 < similar))
         literal = (F.col("n") >= min_pages) & (F.col("n") >= F.col("an") * min_share) & ~same
         names = node.join(whole, ["host", "template"]).select("host", "template", "seg", F.when(literal, F.col("seg")).otherwise(F.lit("*")).alias("name"))
-        t = t.join(names, ["host", "template", "seg"], "left").withColumn("template", F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name"))).drop("seg", "name")
-        t = checkpoint(t)
-    t = t.withColumn("template", F.when(F.size("segs") > depth + 1, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
-    total = t.groupBy("host", "template").agg(F.sum("labelled").alias("of_labelled"), F.sum("bad").alias("of_bad"))
-    return t.select("host", "form", "template").join(total, ["host", "template"]).select("host", "form", "template", F.col("of_labelled").alias("labelled"), F.col("of_bad").alias("bad"))
+        t = checkpoint(t.join(names, ["host", "template", "seg"]).withColumn("template", F.concat("template", F.lit("/"), "name")).drop("seg", "name"))
+        if t.isEmpty():
+            break
+    total = grown.groupBy("host", "template").agg(F.sum("labelled").alias("of_labelled"), F.sum("bad").alias("of_bad"))
+    return grown.select("host", "form", "template").join(total, ["host", "template"]).select("host", "form", "template", F.col("of_labelled").alias("labelled"), F.col("of_bad").alias("bad"))
 
 
 def url_filter(pages: DataFrame, rules: Sequence[Rule] = (), bad_host_words: Sequence[str] = BAD_HOST_WORDS, label: Column | None = None, threshold: float = 0.7, page_id: str = "page_id", url: str = "url") -> DataFrame:
@@ -82,8 +90,8 @@ def url_filter(pages: DataFrame, rules: Sequence[Rule] = (), bad_host_words: Seq
 
     verdict: that of the longest rule that fits, else block if the template is rejected, else allow.  Labels come from
     ``label`` (1 bad, 0 good, null none; over the columns of ``pages``), from the rules, and from words of the host name.
-    Null urls and urls without ``://`` have an empty host and path and one template; repeated rows are kept; other columns
-    are ignored, whatever their names.
+    Null urls and urls without ``://`` have an empty host and path and one template; long urls count whole; repeated rows are
+    kept; an empty table gives an empty result; other columns are ignored, whatever their names.
     """
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"), (label.cast("int") if label is not None else F.lit(None).cast("int")).alias("own"))

@@ -99,6 +99,17 @@ def test_templates_learn(spark):
     assert alike.select("template").distinct().count() == 1  # branches that don't differ merge
 
 
+def test_deep_branches_have_verdicts_of_their_own(spark):
+    """Paths of ten segments whose eighth tells bad from good, and one of hundreds that no other shares."""
+    rows = [(f"http://h.org/a/b/c/d/e/f/g/{kind}/i/j{i}", int(kind == "bad") if i % 2 else None) for kind in ("bad", "good") for i in range(60)]
+    rows.append(("http://h.org" + "/a" * 7 + "/x" * 300, None))
+    got = url_filter.url_filter(spark.createDataFrame([(i, u, y) for i, (u, y) in enumerate(rows)], "page_id long, url string, y int"), label=F.col("y")).collect()
+    assert len(got) == len(rows)
+    assert {(r.path.split("/")[8], r.verdict) for r in got[:] if len(r.path) < 100} == {("bad", "block"), ("good", "allow")}
+    long = next(r for r in got if len(r.path) > 100)
+    assert long.template.count("/") == long.path.count("/") and long.verdict == "allow"
+
+
 # -- personal data ------------------------------------------------------------------------------
 
 
