@@ -293,7 +293,7 @@ def text_blobs(docs: DataFrame, n: int, kind: int = 9) -> DataFrame:
             if rows := list(send_texts(texts, n, kind)):
                 yield blob_batch(rows)
 
-    return docs.mapInArrow(run, BLOB_SCHEMA)
+    return docs.mapInArrow(tidy(run), BLOB_SCHEMA)
 
 
 def send_places(docs: Texts, doc: np.ndarray, place: np.ndarray, n: int, kind: int) -> Iterator[tuple[int, int, bytes]]:

@@ -219,4 +219,4 @@ def _mapped(docs, path, pattern, doc_id, text, make, kinds, schema):
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values()))], names=["doc_id", *kinds])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, {schema}")
+    return rows.mapInArrow(c.tidy(run), f"doc_id long, {schema}")

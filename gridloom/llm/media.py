@@ -383,7 +383,7 @@ def text_to_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
                 media = store([b + bytes(-len(b) % ROW or (0 if b else ROW)) for b in bodies])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(b) for b in bodies], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return c.text_rows(docs, text, doc_id).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return c.text_rows(docs, text, doc_id).mapInArrow(c.tidy(run), "doc_id long, n_bytes long, media binary")
 
 
 def _bounded(batch: pa.RecordBatch, limit: int, column: int = 1):
@@ -424,7 +424,7 @@ def media_features(media: DataFrame, *keep: str, column: str = "media") -> DataF
                 cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *cols], names=[*keep, "width", "height", "thumbnail", "thumbnail_hash"])
 
-    return media.select(*keep, F.col(column).alias("_media")).mapInArrow(run, fields + FEATURES)
+    return media.select(*keep, F.col(column).alias("_media")).mapInArrow(c.tidy(run), fields + FEATURES)
 
 
 def _alone(images: list[Image] | None) -> list[Image] | None:

@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text
             fps = np.array([majority_bits(shingle_hashes(x.as_buffer().to_pybytes() if x.as_buffer() is not None else b"", shingle)) for x in body], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return c.text_rows(docs, text, doc_id).mapInArrow(run, "doc_id long, fp long")
+    return c.text_rows(docs, text, doc_id).mapInArrow(c.tidy(run), "doc_id long, fp long")
 
 
 def masks_of(max_distance: int) -> list[int]:
@@ -331,7 +331,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[i]), *(pa.array(part[i, k]) for k in range(CHECKED))], names=["key", "node", *parts_of])
 
     columns = ", ".join(f"{k} long" for k in parts_of)
-    rows = own.select("wide", "node", "size", "some").mapInArrow(blocks, f"key long, node long, {columns}")
+    rows = own.select("wide", "node", "size", "some").mapInArrow(c.tidy(blocks), f"key long, node long, {columns}")
     rows = rows.repartition(n, "key").sortWithinPartitions("key", "node")
 
     def compare(batches):

@@ -29,8 +29,8 @@ _U64 = np.uint64
 #: Letters of ASCII in lower case, other ASCII characters as blanks, other bytes as they are.
 _FOLD = np.array([ord(chr(b).lower()) if chr(b).isalpha() and b < 128 else 32 if b < 128 else b for b in range(256)], np.uint8)
 BLOCK = 64
-#: Documents that are searched together.
-BATCH = 128
+#: Documents that are searched together, entries of lists that are added at once, and bytes of text that are split in words at once.
+BATCH, POSTINGS, WORD_BYTES = 64, 1 << 18, 4 << 20
 
 
 def term_hashes(ids: np.ndarray, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,7 +45,7 @@ def _flushed(batches):
         sizes = np.diff(c.binary_parts(batch.column(1))[0])
         at = 0
         while at < len(batch):
-            n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), c.FLUSH_BYTES, side="right")))
+            n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), WORD_BYTES, side="right")))
             part = batch.slice(at, n)
             yield part, *c.binary_parts(part.column(1))
             at += n
@@ -115,6 +115,7 @@ def document_frequencies(rows: DataFrame, words: np.ndarray) -> tuple[int, np.nd
         word, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         df[word[word >= 0]] = n[word >= 0]
         total += int(n[word < 0].sum())
+    shared.destroy()
     return total, df
 
 
@@ -219,8 +220,13 @@ class ExampleIndex:
         query[own.doc[row >= 0], row[row >= 0]] = own.value[row >= 0]
         thin = row < 0
         size = (self.begin[own.word[thin] + 1] - self.begin[own.word[thin]]).astype(np.int64)
-        at = c.ranges(self.begin[own.word[thin]], size)
-        sums = np.bincount(np.repeat(own.doc[thin], size) * self.width + self.at[at], weights=self.value[at] * np.repeat(own.value[thin], size), minlength=n * self.width).reshape(n, nb, BLOCK)
+        first, doc, value = self.begin[own.word[thin]], own.doc[thin], own.value[thin]
+        sums, cuts = np.zeros(n * self.width), np.searchsorted(np.cumsum(size), np.arange(0, int(size.sum()) + POSTINGS, POSTINGS))
+        for a, b in zip(cuts, [*cuts[1:], len(size)], strict=True):  # long texts have many
+            if b > a:
+                at = c.ranges(first[a:b], size[a:b])
+                sums += np.bincount(np.repeat(doc[a:b], size[a:b]) * self.width + self.at[at], weights=self.value[at] * np.repeat(value[a:b], size[a:b]), minlength=n * self.width)
+        sums = sums.reshape(n, nb, BLOCK)
         bound = query @ self.top + sums.max(axis=2)
         rank = np.argsort(np.argsort(-bound, axis=1, kind="stable"), axis=1)
         read, score = np.zeros((n, nb), bool), np.full((n, nb, BLOCK), -1.0)
@@ -299,6 +305,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_byte
     both = 0 < int(own.sum()) < len(own)
     index = ExampleIndex(got if both else [], words, relevant * (np.log((1 + total) / (1 + df)) + 1), floor * (np.log(1 + total) + 1), tuple(w / scale if scale else 1.0 for w in weights), k, prior_weight)
     shared = spark.sparkContext.broadcast(index)
+    del index, got, words, place, each, relevant, df
+    c.released()
 
     def run(batches):
         index = shared.value
