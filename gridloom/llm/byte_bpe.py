@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import mix
+from gridloom.llm._common import bound_batches, mix, tidy
 
 #: Pre-tokens whose ids a worker remembers; then it starts anew.
 MEMO = 1_000_000
@@ -207,6 +207,7 @@ def encode_digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_
 
 
 def _mapped(docs, path, pattern, doc_id, text, make, kinds, schema):
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(BytePairEncoder.load(path, pattern))
 
     def run(batches):
@@ -219,4 +220,4 @@ def _mapped(docs, path, pattern, doc_id, text, make, kinds, schema):
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values()))], names=["doc_id", *kinds])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInArrow(c.tidy(run), f"doc_id long, {schema}")
+    return rows.mapInArrow(tidy(run), f"doc_id long, {schema}")
