@@ -145,41 +145,156 @@ def unpack_bits(words: np.ndarray, bits: int, count: int, spanning: bool) -> np.
 
 
 class BitWriter:
-    """Numbers of any width, low bits first."""
+    """Numbers of any width, low bits first; whole bytes leave at once, so time grows with the number of bits."""
 
     def __init__(self):
-        self.parts: list[tuple[int, int]] = []
+        self.out, self.held, self.width = bytearray(), 0, 0
 
     def put(self, value: int, width: int) -> None:
-        self.parts.append((value & (1 << width) - 1, width))
+        self.held |= (value & (1 << width) - 1) << self.width
+        self.width += width
+        if whole := self.width // 8:
+            self.out += (self.held & (1 << 8 * whole) - 1).to_bytes(whole, "little")
+            self.held >>= 8 * whole
+            self.width -= 8 * whole
 
     def close(self) -> bytes:
-        total = at = 0
-        for value, width in self.parts:
-            total |= value << at
-            at += width
-        return total.to_bytes(-(-at // 8), "little")
+        return bytes(self.out) + (self.held.to_bytes(1, "little") if self.width else b"")
 
 
 class BitReader:
+    """The inverse of BitWriter."""
+
     def __init__(self, data: bytes):
-        self.bits, self.at = int.from_bytes(data, "little"), 0
+        self.data, self.at = data, 0
 
     def get(self, width: int) -> int:
-        out = self.bits >> self.at & (1 << width) - 1
+        first, last = self.at // 8, -(-(self.at + width) // 8)
+        out = int.from_bytes(self.data[first:last], "little") >> self.at % 8 & (1 << width) - 1
         self.at += width
         return out
 
 
+@F.pandas_udf(T.BinaryType())
+def bits_write(values: pd.Series, widths: pd.Series) -> pd.Series:
+    """An array of numbers, each in its own width (an array as long), as a string of bits."""
+
+    def one(v, w):
+        out = BitWriter()
+        for x, k in zip(v, w, strict=True):
+            out.put(int(x), int(k))
+        return out.close()
+
+    return pd.Series([None if v is None else one(v, w) for v, w in zip(values, widths, strict=True)])
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def bits_read(data: pd.Series, widths: pd.Series) -> pd.Series:
+    """The inverse of bits_write()."""
+
+    def one(d, w):
+        own = BitReader(bytes(d))
+        return [own.get(int(k)) for k in w]
+
+    return pd.Series([None if d is None else one(d, w) for d, w in zip(data, widths, strict=True)])
+
+
 @F.pandas_udf(T.BinaryType())
 def varint_encode(values: pd.Series) -> pd.Series:
-    """An array of numbers as varints."""
-    return values.map(lambda v: None if v is None else varints(np.asarray(v, np.int64).view(np.uint64)))
+    """An array of numbers as varints; all arrays of a batch are coded together."""
+    many = values.map(lambda v: 0 if v is None else len(v)).to_numpy(np.int64)
+    held = [np.asarray(v, np.int64) for v in values if v is not None and len(v)]
+    flat = np.concatenate(held) if held else np.zeros(0, np.int64)
+    data = varints(flat.view(np.uint64))
+    ends = np.r_[0, np.flatnonzero(np.frombuffer(data, np.uint8) < 128) + 1][np.cumsum(many)].tolist()
+    return pd.Series([None if v is None else data[a:b] for v, a, b in zip(values, [0, *ends], ends, strict=False)])
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def varint_decode(data: pd.Series) -> pd.Series:
-    return data.map(lambda v: None if v is None else unvarints(v).view(np.int64))
+    """The inverse of varint_encode(); a number that is cut off or too long fails."""
+    held = [b"" if v is None else bytes(v) for v in data]
+    if any(v and v[-1] & 128 for v in held):
+        raise ValueError("the last number is cut off")
+    whole = b"".join(held)
+    flat, last = unvarints(whole).view(np.int64), np.flatnonzero(np.frombuffer(whole, np.uint8) < 128)
+    cuts = np.searchsorted(last, np.cumsum([0, *map(len, held)])).tolist()
+    return pd.Series([None if v is None else flat[a:b] for v, a, b in zip(data, cuts, cuts[1:], strict=False)])
+
+
+# -- typed memory: numbers at places of a binary column --
+
+#: Bytes of each type of number, and whether it has a sign.
+NUMBERS = {"u8": (1, False), "i8": (1, True), "u16": (2, False), "i16": (2, True), "u32": (4, False), "i32": (4, True), "u64": (8, False), "i64": (8, True)}
+
+
+def read_number(data: Column, offset: Column, kind: str, little: bool = False) -> Column:
+    """A number of a type of ``NUMBERS`` at a byte offset; null beyond the end.  u64 is a decimal."""
+    size, signed = NUMBERS[kind]
+    raw = F.substring(data, offset.cast("int") + 1, F.lit(size))
+    digits = F.hex(raw)
+    if little:
+        digits = F.concat(*(F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))))
+    value = F.conv(digits, 16, 10).cast("decimal(20,0)")
+    if signed:
+        value = F.when(value >= F.lit(1 << 8 * size - 1).cast("decimal(20,0)"), value - F.lit(str(1 << 8 * size)).cast("decimal(21,0)")).otherwise(value)
+    return F.when((offset >= 0) & (F.octet_length(raw) == size), value.cast("decimal(20,0)" if kind == "u64" else "long"))
+
+
+def number_bytes(value: Column, kind: str, little: bool = False) -> Column:
+    """The inverse of read_number(): the value's bytes (two's complement)."""
+    size, _ = NUMBERS[kind]
+    digits = F.right(F.lpad(F.hex(value.cast("long")), 16, "0"), F.lit(2 * size))
+    if little:
+        digits = F.concat(*(F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))))
+    return F.unhex(digits)
+
+
+def read_text(data: Column, offset: Column, little: bool = False) -> Column:
+    """A string behind its length in two bytes."""
+    return F.substring(data, offset.cast("int") + 3, read_number(data, offset, "u16", little).cast("int")).cast("string")
+
+
+def text_bytes(text: Column, little: bool = False) -> Column:
+    return F.concat(number_bytes(F.octet_length(text), "u16", little), text.cast("binary"))
+
+
+# -- sets of small numbers as arrays of 64-bit words --
+
+
+def bitset(values: Column, size: int) -> Column:
+    """The set of an array of numbers below ``size``."""
+    return F.transform(
+        F.sequence(F.lit(0), F.lit((size - 1) // 64)),
+        lambda w: F.aggregate(F.filter(F.array_distinct(values), lambda v: F.floor(v / 64) == w), F.lit(0).cast("long"), lambda a, v: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (v % 64).cast("int")))),
+    )
+
+
+def bitset_has(words: Column, index: Column) -> Column:
+    return F.call_function("shiftrightunsigned", F.element_at(words, (F.floor(index / 64) + 1).cast("int")), (index % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+
+
+def bitset_count(words: Column) -> Column:
+    return F.aggregate(words, F.lit(0), lambda a, w: a + F.bit_count(w))
+
+
+def bitset_next(words: Column, start: Column) -> Column:
+    """The smallest member at or above ``start``; -1 if there is none."""
+    def members(w, i):
+        return F.filter(F.sequence(i * 64, i * 64 + 63), lambda v: F.call_function("shiftrightunsigned", w, (v % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
+
+    every = F.flatten(F.transform(words, lambda w, i: F.when(w == 0, F.array().cast("array<int>")).otherwise(members(w, i))))
+    return F.coalesce(F.array_min(F.filter(every, lambda v: v >= start)), F.lit(-1))
+
+
+def bitset_all(words: Column, size: int) -> Column:
+    """Whether every number below ``size`` is a member."""
+    return bitset_count(words) == size
+
+
+def visit(values: Column, of, kind: str = "long") -> Column:
+    """An array with ``of(value, index)`` applied to each element, as numbers of ``kind``."""
+    return F.transform(values, lambda v, i: of(v, i).cast(kind))
 
 
 def bit_unpack(words: Column, bits: Column, count: Column, spanning: bool) -> Column:

@@ -84,19 +84,33 @@ def inside(path: Column, root: str) -> Column:
     return (depth >= 0) & ~path.startswith("/") & ~path.rlike(r"^[A-Za-z]:")
 
 
+def equals_ci(text: Column, other: str) -> Column:
+    return F.lower(text) == other.lower()
+
+
+def starts_with_ci(text: Column, start: str) -> Column:
+    return F.lower(text).startswith(start.lower())
+
+
 def ends_with_ci(text: Column, end: str) -> Column:
     return F.lower(text).endswith(end.lower())
 
 
+def contains_ci(text: Column, part: str) -> Column:
+    return F.lower(text).contains(part.lower())
+
+
 def is_gzip(content: Column) -> Column:
     """At least 10 bytes that begin with 1F 8B 08."""
     return (F.octet_length(content) >= 10) & (F.hex(F.substring(content, 1, 3)) == "1F8B08")
 
 
 def duration(seconds: Column) -> Column:
-    """hh:mm:ss."""
+    """1h 2m 3s, without hours below an hour and without minutes below a minute; hours are whole ones."""
     s = seconds.cast("long")
-    return F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
+    hours = F.when(s >= 3600, F.concat(F.floor(s / 3600), F.lit("h ")))
+    minutes = F.when(s >= 60, F.concat(F.floor(s / 60) % 60, F.lit("m ")))
+    return F.concat(F.coalesce(hours, F.lit("")), F.coalesce(minutes, F.lit("")), s % 60, F.lit("s"))
 
 
 def block_reference(literal: Column) -> Column:

@@ -46,14 +46,16 @@ def last_seen(df: DataFrame, when: Column, value: str, partition: str, *order: s
 
 def alias_closure(spark, names: DataFrame, renames: DataFrame) -> DataFrame:
     """(name, latest, hops): where chains of renames (old, new) lead; a recursive query over the rename dimension."""
-    names.select(names.columns[0]).createOrReplaceTempView("_alias_names")
-    renames.select("old", "new").createOrReplaceTempView("_alias_renames")
     first = names.columns[0]
-    return spark.sql(f"""
+    return spark.sql(
+        """
       WITH RECURSIVE r(name, cur, depth) AS (
-        SELECT {first}, {first}, 0 FROM _alias_names
-        UNION ALL SELECT r.name, n.new, r.depth + 1 FROM r JOIN _alias_renames n ON n.old = r.cur)
-      SELECT name, max_by(cur, depth) AS latest, max(depth) AS hops FROM r GROUP BY name""")
+        SELECT name, name, 0 FROM {names}
+        UNION ALL SELECT r.name, n.new, r.depth + 1 FROM r JOIN {renames} n ON n.old = r.cur)
+      SELECT name, max_by(cur, depth) AS latest, max(depth) AS hops FROM r GROUP BY name""",
+        names=names.select(F.col(first).alias("name")),
+        renames=renames.select("old", "new"),
+    )
 
 
 def with_default(df: DataFrame, dimension: DataFrame, keys: list[str], defaults: dict[str, Column]) -> DataFrame:
@@ -65,7 +67,8 @@ def with_default(df: DataFrame, dimension: DataFrame, keys: list[str], defaults:
 def state_lookup(df: DataFrame, states: DataFrame, name: str = "name", properties: str = "props") -> DataFrame:
     """Joins on name and properties (maps), whatever their order, the state's default for a property that a row lacks.
 
-    states: name, props (with all defaults), state_id, is_default.
+    states: name, props (with all defaults), state_id, is_default.  A state that isn't known is created: its id is below 0,
+    and equal states have equal ids.
     """
     defaults = states.filter("is_default").select(F.col(name), F.col(properties).alias("_d"))
     def key(m):
@@ -73,7 +76,8 @@ def state_lookup(df: DataFrame, states: DataFrame, name: str = "name", propertie
 
     own = df.join(defaults, name, "left").withColumn("_k", key(merge_maps(F.coalesce(properties, F.create_map().cast("map<string,string>")), F.coalesce("_d", F.create_map().cast("map<string,string>")))))
     known = states.select(F.col(name), key(F.col(properties)).alias("_k"), "state_id")
-    return own.join(known, [name, "_k"], "left").drop("_d", "_k")
+    made = (-1 - F.shiftrightunsigned(F.xxhash64(name, "_k"), 1)).cast("long")
+    return own.join(known, [name, "_k"], "left").withColumn("state_id", F.coalesce(F.col("state_id").cast("long"), made)).drop("_d", "_k")
 
 
 def differences(a: DataFrame, b: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

@@ -19,12 +19,16 @@ def shifted(cells: DataFrame, offsets=SIX, *columns: str) -> DataFrame:
 
 
 def with_neighbours(cells: DataFrame, column: str, default: Column, offsets=SIX) -> DataFrame:
-    """The cells with an array ``near`` of the column's values at the offsets; where there is no cell, ``default``."""
-    own = cells.withColumn("_own", F.lit(True))
-    other = shifted(cells, offsets, column)
-    seen = other.groupBy("x", "y", "z").agg(*(F.max(F.when(F.col("k") == k, F.col(column))).alias(f"_{k}") for k in range(len(offsets))))
+    """The cells (one at a place) with an array ``near`` of the column's values at the offsets; where there is no cell, ``default``."""
+    # the cell's own row goes along as one more offset, so there is one exchange and no join
+    names = [k for k in cells.columns if k not in ("x", "y", "z")]
+    own = cells.select("x", "y", "z", F.lit(None).cast("int").alias("k"), F.col(column).alias("_v"), F.struct(*names).alias("_row"))
+    own = own.select(F.col("x").cast("int").alias("x"), F.col("y").cast("long").alias("y"), F.col("z").cast("long").alias("z"), "k", "_v", "_row")
+    other = shifted(cells, offsets, column).withColumnRenamed(column, "_v").withColumn("_row", F.lit(None).cast(own.schema["_row"].dataType)).select(*own.columns)
+    seen = [F.max(F.when(F.col("k") == k, F.col("_v"))).alias(f"_{k}") for k in range(len(offsets))]
+    whole = own.union(other).groupBy("x", "y", "z").agg(*seen, F.any_value("_row", True).alias("_row")).filter(F.col("_row").isNotNull())
     near = F.array(*(F.coalesce(F.col(f"_{k}"), default) for k in range(len(offsets))))
-    return own.join(seen, ["x", "y", "z"], "left").withColumn("near", near).drop("_own", *(f"_{k}" for k in range(len(offsets))))
+    return whole.select("x", "y", "z", *(F.col(f"_row.`{k}`").alias(k) for k in names), near.alias("near"))
 
 
 def previous_symbol(df: DataFrame, symbol: str, partition: str, *order: str) -> DataFrame:
@@ -62,8 +66,7 @@ def total_entropy(counts: DataFrame, *context: str) -> DataFrame:
 
 def brightest_neighbour(cells: DataFrame) -> DataFrame:
     """The cells with ``mn``, the largest light of their six neighbours (0 where there is none)."""
-    other = shifted(cells, SIX, "light").groupBy("x", "y", "z").agg(F.max("light").alias("mn"))
-    return cells.join(other, ["x", "y", "z"], "left").withColumn("mn", F.greatest(F.coalesce("mn", F.lit(0)), F.lit(0)))
+    return with_neighbours(cells, "light", F.lit(0)).withColumn("mn", F.greatest(F.array_max("near"), F.lit(0))).drop("near")
 
 
 def emission_histogram(lit: DataFrame) -> DataFrame:

@@ -2,28 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Ids of a palette are below this.
 ID_LIMIT = 65535
 
 
-def _numbered(ranked: DataFrame, *order) -> DataFrame:
-    # a palette is a dimension: after the aggregation it has as many rows as there are distinct symbols
-    return ranked.withColumn("sym_id", (F.row_number().over(Window.orderBy(*order)) - 1).cast("int"))
+def numbered(rows: DataFrame, *order: str | Column, name: str = "sym_id", start: int = 0) -> DataFrame:
+    """The rows numbered in order, without a task that sees all of them: by ranges of the order, and the rows of the ranges before."""
+    keys = {f"_k{i}": F.col(k) if isinstance(k, str) else k for i, k in enumerate(order)}
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = rows.withColumns(keys).repartitionByRange(n, *keys).withColumn("_p", F.spark_partition_id())
+    own = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*keys)))
+    sizes = own.groupBy("_p").agg(F.max("_i").alias("_n"))
+    before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # as many rows as ranges
+    return own.join(F.broadcast(before), "_p").withColumn(name, (F.col("_i") + F.col("_b") + (start - 1)).cast("int")).drop("_p", "_i", "_b", *keys)
 
 
 def palette_by_frequency(df: DataFrame, symbol: str = "block") -> DataFrame:
     """(symbol, n, sym_id): the most frequent symbol is 0, ties by the symbol."""
     counts = df.groupBy(symbol).agg(F.count("*").alias("n"))
-    return _numbered(counts, F.desc("n"), F.asc(symbol))
+    return numbered(counts, -F.col("n"), symbol)
 
 
 def palette_first_seen(df: DataFrame, symbol: str, position: str) -> DataFrame:
     """(symbol, first, sym_id): symbols by the smallest position at which they stand."""
     first = df.groupBy(symbol).agg(F.min(position).alias("first"))
-    return _numbered(first, "first")
+    return numbered(first, "first")
 
 
 def checked_palette(palette: DataFrame) -> DataFrame:
@@ -54,5 +60,4 @@ def collapse_constant(values):
 
 def dictionary(df: DataFrame, column: str) -> DataFrame:
     """(column, code): distinct values, numbered from 1 in their order; 0 is left for what is new."""
-    own = df.select(column).distinct()
-    return own.withColumn("code", F.row_number().over(Window.orderBy(column)))
+    return numbered(df.select(column).distinct(), column, name="code", start=1)

@@ -204,6 +204,30 @@ def detect(data: bytes) -> tuple[str, Tag]:
     raise BadTag("no document")
 
 
+def compressed(tag: Tag, name: str = "") -> bytes:
+    """A whole document, gzipped, the same bytes each time."""
+    return gzip.compress(write(tag, name), 6, mtime=0)
+
+
+def documents(data: bytes) -> list[tuple[str, Tag]]:
+    """The documents of a file: one that may be gzipped, deflated or plain, else those of a region file's chunks."""
+    try:
+        found = detect(data)
+        if found[1][0] == END:
+            raise BadTag("no document")
+        return [found]
+    except BadTag:
+        from gridloom.sources.region import read_chunks
+
+        try:
+            found = [read(chunk) for _, _, _, chunk in read_chunks(bytes(data))]
+        except (ValueError, OSError, EOFError, zlib.error, struct.error) as error:
+            raise BadTag("neither a document nor a region file") from error
+        if not found:
+            raise
+        return found
+
+
 @F.pandas_udf(T.StringType())
 def _to_json(data: pd.Series) -> pd.Series:
     def one(x):
@@ -222,8 +246,15 @@ def to_variant(data: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def to_text(data: pd.Series) -> pd.Series:
-    """A document's bytes as readable text."""
-    return data.map(lambda x: None if x is None else pretty(detect(x)[1]))
+    """A file's documents as readable text; null for what holds none."""
+
+    def one(x):
+        try:
+            return None if x is None else "\n".join(pretty(tag) for _, tag in documents(x))
+        except BadTag:
+            return None
+
+    return data.map(one)
 
 
 @F.pandas_udf(T.BinaryType())

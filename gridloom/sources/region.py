@@ -17,6 +17,8 @@ from gridloom.sources import nbt
 
 #: Bytes of a sector, the codecs' numbers, the first version whose packed values don't span words.
 SECTOR, GZIP, ZLIB, RAW, SPARSE_VERSION = 4096, 1, 2, 3, 2529
+#: The blocks of the material air.
+AIRS = ("air", "cave_air", "void_air")
 _NAME = re.compile(r"(?:^|/)r\.(-?\d+)\.(-?\d+)\.mca$")
 CHUNKS = "path string, cx int, cz int, codec int, stamp long, data binary"
 
@@ -121,7 +123,7 @@ def write_files(files: DataFrame, folder: str) -> int:
 
 
 def section_states(data: bytes) -> list[tuple[int, int, int, list[str], np.ndarray]]:
-    """(cx, cz, sy, palette, ids) of a chunk's sections; none of a chunk without Level, and none of a section of one state."""
+    """(cx, cz, sy, palette, ids) of a chunk's sections; none of a chunk without Level, and none of a section of air alone."""
     root = nbt.read(data)[1][1]
     if "Level" not in root:
         return []
@@ -133,7 +135,7 @@ def section_states(data: bytes) -> list[tuple[int, int, int, list[str], np.ndarr
         sy -= 256 * (sy > 127)
         if "Palette" in section and "BlockStates" in section:
             palette = [state_text(p) for p in section["Palette"][1][1]]
-            if len(palette) > 1:
+            if palette and not (len(palette) == 1 and is_air(palette[0])):
                 bits = max(4, (len(palette) - 1).bit_length())
                 words = np.asarray(section["BlockStates"][1]).astype(np.int64).view(np.uint64)
                 out.append((cx, cz, sy, palette, unpack_bits(words, bits, 4096, spanning=version < SPARSE_VERSION).astype(np.int32)))
@@ -144,6 +146,11 @@ def section_states(data: bytes) -> list[tuple[int, int, int, list[str], np.ndarr
     return out
 
 
+def is_air(state: str) -> bool:
+    """Whether a state's block is one of the airs."""
+    return state.partition("[")[0].removeprefix("minecraft:") in AIRS
+
+
 def legacy_ids(section: dict) -> np.ndarray:
     """block << 4 | data of each cell, with the block's high bits from Add."""
     block = np.frombuffer(section["Blocks"][1], np.uint8).astype(np.int32)
@@ -163,6 +170,41 @@ def state_text(entry: dict) -> str:
     return f"{name}[{','.join(f'{k}={v}' for k, v in props)}]" if props else name
 
 
+#: Bits of a height in its packed words, columns of a chunk.
+HEIGHT_BITS, COLUMNS = 9, 256
+
+
+def height_values(data: bytes) -> list[tuple[int, int, str, np.ndarray]]:
+    """(cx, cz, kind, heights of the columns, x fastest) of a chunk's heightmaps: packed words by kind, or the plain list of old versions."""
+    root = nbt.read(data)[1][1]
+    if "Level" not in root:
+        return []
+    version, level = root.get("DataVersion", (nbt.INT, 0))[1], root["Level"][1]
+    cx, cz = level["xPos"][1], level["zPos"][1]
+    out = [(cx, cz, kind, unpack_bits(np.asarray(words).astype(np.int64).view(np.uint64), HEIGHT_BITS, COLUMNS, spanning=version < SPARSE_VERSION).astype(np.int32)) for kind, (_, words) in level.get("Heightmaps", (nbt.COMPOUND, {}))[1].items()]
+    if "HeightMap" in level and len(level["HeightMap"][1]) == COLUMNS:
+        out.append((cx, cz, "LEGACY", np.asarray(level["HeightMap"][1], np.int32)))
+    return out
+
+
+def height_tags(heights: dict[str, np.ndarray], version: int) -> dict:
+    """The inverse of height_values(): the tags of a chunk's level."""
+    packed = {kind: (nbt.LONGS, pack_bits(h, HEIGHT_BITS, spanning=version < SPARSE_VERSION).view(np.int64)) for kind, h in heights.items() if kind != "LEGACY"}
+    out = {"Heightmaps": (nbt.COMPOUND, packed)} if packed else {}
+    return out | ({"HeightMap": (nbt.INTS, np.asarray(heights["LEGACY"], np.int32))} if "LEGACY" in heights else {})
+
+
+def height_rows(chunks: DataFrame) -> DataFrame:
+    """(cx, cz, kind, heights) of chunks (data)."""
+
+    def run(parts):
+        for pdf in parts:
+            rows = [(a, b, k, h.tolist()) for d in pdf["data"] for a, b, k, h in height_values(bytes(d))]
+            yield pd.DataFrame(rows, columns=["cx", "cz", "kind", "heights"])
+
+    return chunks.select("data").mapInPandas(run, "cx int, cz int, kind string, heights array<int>")
+
+
 def state_entry(text: str) -> dict:
     name, _, rest = text.partition("[")
     out = {"Name": name}
@@ -245,8 +287,11 @@ def join_chunk(rest: bytes, version: int | None, sections: list) -> bytes:
 
 
 def _section_tags(palette: list[str], ids: np.ndarray, version: int) -> dict:
-    """Cells as tags: ids and nibbles if all states are legacy (``id:data``), else a palette by first sight and packed words."""
-    if all(re.fullmatch(r"\d+:\d+", s) for s in palette):
+    """Cells as tags: ids and nibbles if all states are legacy (``id:data``), else a palette by first sight and packed words; a section can't hold both."""
+    legacy = [bool(re.fullmatch(r"\d+:\d+", s)) for s in palette]
+    if any(legacy) and not all(legacy):
+        raise ValueError(f"a section of old numbers can't hold {palette[legacy.index(False)]!r}")
+    if all(legacy):
         state = np.array([int(a) << 4 | int(b) for a, b in (s.split(":") for s in palette)], np.int32)[ids]
         nibbles = {"Data": state & 15, "Add": state >> 12}
         tags = {"Blocks": (nbt.BYTES, (state >> 4 & 255).astype(np.uint8).tobytes())}

@@ -30,14 +30,46 @@ def test_light_against_search(spark):
     assert {(r.x, r.y, r.z): r.lvl for r in got.collect()} == level
 
 
-def test_hidden_modes_agree(spark):
+def hidden_by_hand(rows, offsets, may, running):
+    """The cells in order, each seeing what stands around it by then (running) or stood there before."""
+    old = {(x, y, z): b for x, y, z, b, _ in rows}
+    now, out = dict(old), {}
+    counts: dict = {}
+    top = None
+    for y, z, x in sorted((y, z, x) for x, y, z in old):
+        seen = now if running else old
+        if seen[x, y, z] not in may:
+            continue
+        if not running:
+            counts, top = {}, None
+        six = [seen.get((x + dx, y + dy, z + dz)) for dx, dy, dz in hidden.SIX]
+        hides = None not in six and "air" not in six
+        touching = six if hides else six[: min(i for i, b in enumerate(six) if b in (None, "air"))]
+        for b in touching + ([c for dx, dy, dz in offsets if (c := seen.get((x + dx, y + dy, z + dz)))] if hides else []):
+            counts[b] = counts.get(b, 0) + 1
+            if top is None or counts[b] > counts[top]:
+                top = b
+        if hides:
+            out[x, y, z] = top if running else min(counts, key=lambda b: (-counts[b], b))
+            now[x, y, z] = out[x, y, z]
+    return old | out
+
+
+def test_hidden_cells(spark):
     rows, df = cells(spark)
-    plain = {(r.x, r.y, r.z): r.block for r in hidden.replace_hidden(df, F.col("block") == "air").collect()}
-    ordered = hidden.running_replacements(df.withColumn("region", F.lit(1)), ["air"], "region", hidden.SIX, decay=True)
-    assert {(r.x, r.y, r.z): r.block for r in ordered.collect()} == plain
-    assert plain != {r[:3]: r[3] for r in rows}
+    offsets = hidden.neighbour_sample(2, 8)
+    plain = {(r.x, r.y, r.z): r.block for r in hidden.replace_hidden(df, F.col("block") == "air", offsets=[*hidden.SIX, *offsets]).collect()}
+    assert plain == hidden_by_hand(rows, offsets, {"stone", "dirt", "air"}, False) and plain != {r[:3]: r[3] for r in rows}
     kept = hidden.replace_hidden(df, F.col("block") == "air", whitelist=[])
     assert {(r.x, r.y, r.z): r.block for r in kept.collect()} == {r[:3]: r[3] for r in rows}
+    # through the pipe, with the whitelist that holds by default
+    for text, running in (("remove_hidden_blocks", True), ("remove_hidden_blocks{cum_freqs=false}", False)):
+        got = Pipe.parse(text).apply(df)
+        assert got.columns == df.columns
+        found = {(r.x, r.y, r.z): r.block for r in got.collect()}
+        assert found == hidden_by_hand(rows, offsets, {"stone", "dirt"}, running)
+    named = df.withColumn("block", F.concat(F.lit("minecraft:"), "block"))
+    assert {(r.x, r.y, r.z): r.block for r in Pipe.parse("remove_hidden_blocks").apply(named).collect()} == {k: f"minecraft:{v}" for k, v in hidden_by_hand(rows, offsets, {"stone", "dirt"}, True).items()}
 
 
 def test_neighbour_sample():
