@@ -40,14 +40,15 @@ HIDEABLE = tuple(
 )
 HIDEABLE_NUMBERS = (1, 3, 12, 24, 73, 74)
 #: Blocks that one can see through, where cells have no flags: what has no attributes counts as opaque otherwise.
-CLEAR = (*AIRS, "water", "lava", "glass", "ice")
+CLEAR = (*AIRS, "water", "lava", "glass", "ice", 0, 8, 9, 10, 11, 20, 79)
 
 
 def _is_one_of(block: Column, names) -> Column:
     """Blocks of these names (states count by their name, with or without a namespace) or numbers."""
-    names = [str(n) for n in names]
-    name = state_name(block)
-    return name.isin(names) | resource_path(name).isin([n for n in names if ":" not in n]) | (block.rlike(r"^\d+:\d+$") & F.split_part(block, F.lit(":"), F.lit(1)).isin([n for n in names if n.isdigit()]))
+    numbers, names = ([str(n) for n in names if str(n).isdigit() is k] for k in (True, False))
+    name, old = state_name(block), block.rlike(r"^\d+:\d+$")
+    by_name = name.isin(names) | resource_path(name).isin([n for n in names if ":" not in n])
+    return F.when(old, F.split_part(block, F.lit(":"), F.lit(1)).isin(numbers)).otherwise(by_name)
 
 
 @dataclass(frozen=True)
