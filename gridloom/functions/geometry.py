@@ -139,5 +139,12 @@ def hidden_directions(a: list, b: list, *, full_axis: bool = False) -> int:
 
 @F.pandas_udf(T.IntegerType())
 def occlusion_mask(a: pd.Series, b: pd.Series) -> pd.Series:
-    """hidden_directions() of two columns of box arrays (array<array<int>>)."""
-    return pd.Series([hidden_directions(list(map(list, x)), list(map(list, y))) for x, y in zip(a, b, strict=True)])
+    """hidden_directions() of two columns of box arrays (array<array<int>>); each pair of shapes of a batch is worked out once."""
+    seen: dict[tuple, int] = {}
+    out = []
+    for x, y in zip(a, b, strict=True):
+        key = tuple(map(tuple, x)), tuple(map(tuple, y))
+        if key not in seen:
+            seen[key] = hidden_directions(list(key[0]), list(key[1]))
+        out.append(seen[key])
+    return pd.Series(out)

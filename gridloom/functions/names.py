@@ -113,6 +113,11 @@ def duration(seconds: Column) -> Column:
     return F.concat(F.coalesce(hours, F.lit("")), F.coalesce(minutes, F.lit("")), s % 60, F.lit("s"))
 
 
+def legacy_state(block: Column, data: Column, add: Column) -> Column:
+    """The number of an old state: block << 4 | data, with the block's high bits from ``add``."""
+    return F.shiftleft(block.cast("int"), 4).bitwiseOR(data.cast("int")).bitwiseOR(F.shiftleft(add.cast("int"), 12))
+
+
 def block_reference(literal: Column) -> Column:
     """A setting's block: a number is a legacy id, anything else a name; as struct (id, name)."""
     number = F.try_to_number(literal, F.lit("99999")).cast("int")

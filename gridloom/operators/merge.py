@@ -87,6 +87,33 @@ def differences(a: DataFrame, b: DataFrame, keys: list[str], values: list[str])
     return left.join(right, keys, "full").withColumn("what", what).filter("what is not null").select(*keys, "what")
 
 
+def first_or_default(df: DataFrame, condition: Column, value: str, *order: str, default=None) -> DataFrame:
+    """(value) of the first row in order that meets the condition; the default if none does.  One row; each task keeps its first."""
+    own = df.filter(condition).agg(F.min_by(value, F.struct(*order)).alias(value))
+    return own.select(F.coalesce(value, F.lit(default)).alias(value))
+
+
+def lower_bound(values: Column, wanted: Column) -> Column:
+    """The number of elements of a sorted array that lie below ``wanted``, by halving: 32 steps at most."""
+    start = F.struct(F.lit(0).alias("a"), F.size(values).alias("b"))
+
+    def half(s, _):
+        middle = F.floor((s["a"] + s["b"]) / 2).cast("int")
+        below = F.get(values, middle) < wanted
+        return F.when(s["a"] >= s["b"], s).otherwise(F.struct(F.when(below, middle + 1).otherwise(s["a"]).alias("a"), F.when(below, s["b"]).otherwise(middle).alias("b")))
+
+    return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + F.lit(1))).cast("int")), start, half, lambda s: s["a"])
+
+
+def both_ways(df: DataFrame, ids: str, names: str) -> tuple[DataFrame, DataFrame]:
+    """(ids to names, names to ids) of a dimension; reading either fails where an id or a name stands twice."""
+    def once(key: str, other: str) -> DataFrame:
+        own = df.groupBy(key).agg(F.count("*").alias("_n"), F.first(other).alias(other))
+        return own.filter(F.assert_true(F.col("_n") == 1, F.lit(f"{key} is not unique")).isNull()).drop("_n")
+
+    return once(ids, names), once(names, ids)
+
+
 def first_route(rules: list[tuple[str, Column]], otherwise: str) -> Column:
     """The name of the first rule that holds."""
     out = None

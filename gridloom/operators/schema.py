@@ -28,9 +28,13 @@ def document_shapes(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(F.schema_of_variant(own).alias("shape")).agg(F.count("*").alias("n"))
 
 
-def shape_ids(shapes: DataFrame, parts: Column) -> DataFrame:
-    """Adds a signature of a list of (name, type) pairs, by which shapes are joined."""
-    return shapes.withColumn("signature", F.xxhash64(F.array_join(parts, "\u0001")))
+def shape_lookup(df: DataFrame, parts: Column, shapes: DataFrame, shape_parts: Column, code: str = "code") -> DataFrame:
+    """Adds the code of the shape whose list of parts a row has; null for lists that no shape has."""
+    def signature(x):
+        return F.array_join(F.transform(x, lambda p: F.concat(F.length(p), F.lit(":"), p)), "")
+
+    known = shapes.select(signature(shape_parts).alias("_s"), code)
+    return df.withColumn("_s", signature(parts)).join(known, "_s", "left").drop("_s")
 
 
 def extract(document: Column, path: str, kind: str, strict: bool = False, default=None) -> Column:

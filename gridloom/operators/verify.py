@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def content_digest(df: DataFrame, *columns: str) -> DataFrame:
-    """(rows, digest): independent of the order of rows and of how they are partitioned, with repeats counted."""
+def content_digest(df: DataFrame, *columns: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, rows, digest): independent of the order of rows and of how they are partitioned, with repeats counted."""
     own = list(columns or df.columns)
-    return df.agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*own).cast("decimal(38,0)")).alias("digest"))
+    return df.groupBy(*by).agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*own).cast("decimal(38,0)")).alias("digest"))
 
 
 def section_digests(sections: DataFrame, keys: list[str], payload: str) -> DataFrame:
@@ -37,9 +39,9 @@ def progress(df: DataFrame, name: str, size: str):
     return df.observe(seen, F.count("*").alias("rows"), F.sum(size).alias("bytes")), seen
 
 
-def all_known(df: DataFrame, known: Column) -> DataFrame:
-    """(all_known, any_rows)."""
-    return df.agg(F.coalesce(F.bool_and(known), F.lit(True)).alias("all_known"), (F.count("*") > 0).alias("any_rows"))
+def all_known(df: DataFrame, known: Column, *keys: str) -> DataFrame:
+    """(keys, all_known, any_rows)."""
+    return df.groupBy(*keys).agg(F.coalesce(F.bool_and(known), F.lit(True)).alias("all_known"), (F.count("*") > 0).alias("any_rows"))
 
 
 def bits_per_block(df: DataFrame, bits: str, blocks: str) -> DataFrame:

@@ -52,6 +52,15 @@ def dense_dump(cells: DataFrame, palette: DataFrame, nx: int, ny: int, nz: int)
     return grid.join(own, ["x", "y", "z"], "left").select(((F.col("y") * nz + F.col("z")) * nx + F.col("x")).cast("long").alias("index"), F.coalesce("sym_id", F.lit(0)).cast("int").alias("sym_id"))
 
 
+def image(plane: DataFrame, side: int, value: str = "h") -> DataFrame:
+    """(image): a grey picture (PGM) of the values, from 0 to 255, of a whole plane (x, z) of ``side`` by ``side``; a bounded one."""
+    byte = F.unhex(F.lpad(F.hex(F.col(value).cast("long").bitwiseAND(255)), 2, "0"))
+    rows = plane.groupBy("z").agg(F.array_sort(F.collect_list(F.struct("x", byte.alias("b")))).alias("row"))
+    rows = rows.select("z", F.aggregate("row", F.lit(b""), lambda a, s: F.concat(a, s["b"])).alias("row"))
+    whole = rows.agg(F.array_sort(F.collect_list(F.struct("z", "row"))).alias("all"))
+    return whole.select(F.concat(F.lit(f"P5\n{side} {side} 255\n".encode()), F.aggregate("all", F.lit(b""), lambda a, s: F.concat(a, s["row"]))).alias("image"))
+
+
 def section_arrays(cells: DataFrame, palette: DataFrame) -> DataFrame:
     """(cx, cz, sy, blocks): the ids of each section by the places of its cells (4,096 at most)."""
     from gridloom.functions.geometry import cell_index

@@ -105,13 +105,13 @@ def extents(spark, d):
     return voxel.extents(grid(spark, d))
 
 
-@query("+g AS (SELECT * FROM (VALUES (0),(1)) a(cx) CROSS JOIN (VALUES (0),(1)) b(cz) CROSS JOIN (VALUES (0),(1)) c(sy)), p AS (SELECT DISTINCT CAST(floor(x/16) AS INT) AS cx, CAST(floor(z/16) AS INT) AS cz, CAST(floor(y/16) AS INT) AS sy FROM voxel) SELECT g.cx, g.cz, g.sy, p.cx IS NOT NULL AS present FROM g LEFT JOIN p ON g.cx = p.cx AND g.cz = p.cz AND g.sy = p.sy", True)
+@query("+g AS (SELECT * FROM (VALUES (0),(1)) a(cx) CROSS JOIN (VALUES (0),(1)) b(cz) CROSS JOIN (SELECT unnest(range(greatest(1, max(y) // 16 + 1)))::INT AS sy FROM voxel) c), p AS (SELECT DISTINCT CAST(floor(x/16) AS INT) AS cx, CAST(floor(z/16) AS INT) AS cz, CAST(floor(y/16) AS INT) AS sy FROM voxel) SELECT g.cx, g.cz, g.sy, p.cx IS NOT NULL AS present FROM g LEFT JOIN p ON g.cx = p.cx AND g.cz = p.cz AND g.sy = p.sy", True)
 def presence_grid(spark, d):
     cells = grid(spark, d)
-    return voxel.presence(cells, 2, max(2, voxel.section_rows(cells)), 2)
+    return voxel.presence(cells, 2, max(1, voxel.section_rows(cells)), 2)
 
 
-@query("+p AS (SELECT block, CAST(row_number() OVER (ORDER BY count(*) DESC, block) - 1 AS INT) AS sym_id FROM voxel GROUP BY block), g AS (SELECT i AS index, CAST(i % 32 AS INT) AS x, (i // 32) % 32 AS z, i // 1024 AS y FROM range(16384) t(i)) SELECT index, coalesce(sym_id, 0) AS sym_id FROM g LEFT JOIN (SELECT x, y, z, sym_id FROM voxel JOIN p USING (block)) v ON g.x = v.x AND g.y = v.y AND g.z = v.z", True)
+@query("+p AS (SELECT block, CAST(row_number() OVER (ORDER BY count(*) DESC, block) - 1 AS INT) AS sym_id FROM voxel GROUP BY block), g AS (SELECT i AS index, CAST(i % 32 AS INT) AS x, (i // 32) % 32 AS z, i // 1024 AS y FROM (SELECT unnest(range(greatest(1, max(y) // 16 + 1) * 16384)) AS i FROM voxel)) SELECT index, coalesce(sym_id, 0) AS sym_id FROM g LEFT JOIN (SELECT x, y, z, sym_id FROM voxel JOIN p USING (block)) v ON g.x = v.x AND g.y = v.y AND g.z = v.z", True)
 def dense_dump(spark, d):
     cells = grid(spark, d)
     return voxel.dense_dump(cells, palette.palette_by_frequency(cells), 32, 16 * max(1, voxel.section_rows(cells)), 32)
@@ -229,13 +229,12 @@ def hidden6(spark, d):
 
 @query(HID + " SELECT v.x, v.y, v.z, coalesce(r.block, v.block) AS block FROM voxel v LEFT JOIN r ON r.rn = 1 AND r.x = v.x AND r.y = v.y AND r.z = v.z", True)
 def hidden_replaced(spark, d):
-    return Pipe.parse('remove_hidden{transparent=["view"]}').apply(grid(spark, d)).select("x", "y", "z", "block")
+    return Pipe.parse('remove_hidden_blocks{samples=0,cum_freqs=false,transparent=["view"],whitelist=null}').apply(grid(spark, d)).select("x", "y", "z", "block")
 
 
 @query()
 def hidden_running(spark, d):
-    cells = grid(spark, d).withColumn("region", F.lit(0))
-    return hidden.running_replacements(cells, ["view"], "region", hidden.neighbour_sample(2, 16))
+    return Pipe.parse('remove_hidden_blocks{samples=16,transparent=["view"],whitelist=null}').apply(grid(spark, d)).select("x", "y", "z", "block")
 
 
 # -- light --------------------------------------------------------------------------------------
@@ -330,13 +329,14 @@ def lookup_with_default(spark, d):
     return merge.with_default(table(spark, d, "customer"), nation, ["c_nationkey"], {"n_name": F.concat(F.lit("nation:"), F.col("c_nationkey"))}).select("c_custkey", "n_name")
 
 
-@query("WITH s AS (SELECT p_partkey, 'b' || p_size % 3 AS name, p_size % 2 = 0 AS lit, p_size % 5 AS age FROM part) SELECT p_partkey, CAST((CASE WHEN lit THEN 0 ELSE 1 END) + 2 * age AS INT) AS state_id FROM s")
+@query("WITH s AS (SELECT p_partkey, 'b' || p_size % 3 AS name, p_size % 2 = 0 AS lit, p_size % 7 AS age FROM part) SELECT p_partkey, CAST(CASE WHEN age > 4 THEN -1 ELSE (CASE WHEN lit THEN 0 ELSE 1 END) + 2 * age END AS BIGINT) AS state_id, age > 4 AS made FROM s")
 def state_lookup(spark, d):
     names_ = spark.range(3).select(F.concat(F.lit("b"), "id").alias("name"))
     states = names_.select("name", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("state_id"))
     states = states.select("name", F.create_map(F.lit("age"), F.floor(F.col("state_id") / 2).cast("string"), F.lit("lit"), F.when(F.col("state_id") % 2 == 0, "true").otherwise("false")).alias("props"), "state_id", (F.col("state_id") == 0).alias("is_default"))
-    rows = table(spark, d, "part").select("p_partkey", F.concat(F.lit("b"), F.col("p_size") % 3).alias("name"), F.map_filter(F.create_map(F.lit("lit"), F.when(F.col("p_size") % 2 == 0, "true").otherwise("false"), F.lit("age"), (F.col("p_size") % 5).cast("string")), lambda k, v: ~((k == "age") & (v == "0"))).alias("props"))
-    return merge.state_lookup(rows, states).select("p_partkey", "state_id")
+    rows = table(spark, d, "part").select("p_partkey", F.concat(F.lit("b"), F.col("p_size") % 3).alias("name"), F.map_filter(F.create_map(F.lit("lit"), F.when(F.col("p_size") % 2 == 0, "true").otherwise("false"), F.lit("age"), (F.col("p_size") % 7).cast("string")), lambda k, v: ~((k == "age") & (v == "0"))).alias("props"))
+    found, made = merge.state_lookup(rows, states), F.col("state_id") < 0
+    return found.select("p_partkey", F.greatest(F.col("state_id"), F.lit(-1)).alias("state_id"), made.alias("made"))
 
 
 @query("WITH a AS (SELECT event_id, event_type, value FROM events), b AS (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN 'x' ELSE event_type END AS event_type, value FROM events WHERE event_id % 70 <> 0) SELECT coalesce(a.event_id, b.event_id) AS event_id, CASE WHEN a.event_id IS NULL THEN 'right only' WHEN b.event_id IS NULL THEN 'left only' ELSE 'differs' END AS what FROM a FULL JOIN b ON a.event_id = b.event_id WHERE a.event_id IS NULL OR b.event_id IS NULL OR a.event_type IS DISTINCT FROM b.event_type OR a.value IS DISTINCT FROM b.value")
@@ -472,10 +472,10 @@ def nibble_pairs(spark, d):
     return pairs.select("xh", "y", "z", bits.nibble_pack(F.col("n0"), F.col("n1")).cast("int").alias("byte"))
 
 
-@query("SELECT doc_id, ('0x' || substr(hex(encode(text)), 2, 1))::INT AS low, ('0x' || substr(hex(encode(text)), 3, 1))::INT AS high FROM documents WHERE length(text) >= 2")
+@query("SELECT doc_id, nullif(strpos('123456789ABCDEF', nullif(substr(hex(encode(text)), 2, 1), '')), NULL)::INT AS low, nullif(strpos('123456789ABCDEF', nullif(substr(hex(encode(text)), 3, 1), '')), NULL)::INT AS high FROM documents")
 def nibble_get(spark, d):
     t = F.col("text").cast("binary")
-    return table(spark, d, "documents").filter(F.length("text") >= 2).select("doc_id", bits.nibble(t, F.lit(0)).alias("low"), bits.nibble(t, F.lit(3)).alias("high"))
+    return table(spark, d, "documents").select("doc_id", bits.nibble(t, F.lit(0)).alias("low"), bits.nibble(t, F.lit(3)).alias("high"))
 
 
 @query("SELECT p_partkey, CAST(256 * 256 * 256 * (p_partkey % 256) + 256 * 256 * ((p_partkey // 256) % 256) + 256 * ((p_partkey // 65536) % 256) + (p_partkey // 16777216) % 256 AS BIGINT) AS swapped FROM part")
@@ -521,7 +521,7 @@ def file_names(spark, d):
     return table(spark, d, "pages").select("page_id", names.extension(F.regexp_replace("url", r"[?#].*$", "")).alias("ext"), names.safe_file_name(F.col("url")).alias("safe"))
 
 
-@query("SELECT o_orderkey, lpad((o_orderkey // 3600)::VARCHAR, 2, '0') || ':' || lpad((o_orderkey // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((o_orderkey % 60)::VARCHAR, 2, '0') AS t FROM orders WHERE o_orderkey < 360000")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey >= 3600 THEN (o_orderkey // 3600) || 'h ' ELSE '' END || CASE WHEN o_orderkey >= 60 THEN (o_orderkey // 60 % 60) || 'm ' ELSE '' END || (o_orderkey % 60) || 's' AS t FROM orders")
 def durations(spark, d):
     return table(spark, d, "orders").select("o_orderkey", names.duration(F.col("o_orderkey")).alias("t"))
 
@@ -573,7 +573,7 @@ def block_references(spark, d):
 @query("SELECT p_partkey, CAST(b * 16 + m + 4096 * a AS INT) AS state FROM (SELECT p_partkey, p_partkey % 256 AS b, p_size % 16 AS m, p_size % 3 AS a FROM part)")
 def legacy_state(spark, d):
     p, s = F.col("p_partkey"), F.col("p_size")
-    return table(spark, d, "part").select("p_partkey", F.shiftleft((p % 256).cast("int"), 4).bitwiseOR(s % 16).bitwiseOR(F.shiftleft(s % 3, 12)).alias("state"))
+    return table(spark, d, "part").select("p_partkey", names.legacy_state(p % 256, s % 16, s % 3).alias("state"))
 
 
 @query(f"SELECT event_id, CAST(({codec.HASH_A}::HUGEINT * event_id + {codec.HASH_B}::HUGEINT * (event_id % 7) + {codec.HASH_C}::HUGEINT) % 18446744073709551616::HUGEINT // 4503599627370496 AS INT) AS slot FROM events")
@@ -599,14 +599,24 @@ def field_stats(spark, d):
     return schema.field_stats(table(spark, d, "events"), "event_type", number, "props").withColumn("width", schema.int_width(F.col("mn"), F.col("mx")))
 
 
-@query("SELECT 'OBJECT<k: BIGINT>' AS schema")
+PROPS = "SELECT event_id, CASE event_id % 3 WHEN 0 THEN replace(props, '}', ', \"s\": \"x\"}') WHEN 1 THEN props ELSE replace(props, '{', '{\"b\": [1, 2], ') END AS p FROM events"
+KINDS = "string_agg(key || ': ' || CASE json_type(p, '$.' || key) WHEN 'UBIGINT' THEN 'BIGINT' WHEN 'BIGINT' THEN 'BIGINT' WHEN 'VARCHAR' THEN 'STRING' WHEN 'ARRAY' THEN 'ARRAY<BIGINT>' END, ', ' ORDER BY key)"
+
+
+def _documents(spark, d) -> DataFrame:
+    k = F.col("event_id") % 3
+    own = F.when(k == 0, F.regexp_replace("props", "}", ', "s": "x"}')).when(k == 1, F.col("props")).otherwise(F.regexp_replace("props", r"\{", '{"b": [1, 2], '))
+    return table(spark, d, "events").select("event_id", own.alias("p"))
+
+
+@query(f"WITH d AS ({PROPS}), k AS (SELECT p, unnest(json_keys(p)) AS key FROM d), u AS (SELECT key, any_value(p) AS p FROM k GROUP BY key) SELECT 'OBJECT<' || {KINDS} || '>' AS schema FROM u")
 def inferred_schema(spark, d):
-    return schema.inferred_schema(table(spark, d, "events"), "props")
+    return schema.inferred_schema(_documents(spark, d), "p")
 
 
-@query("SELECT 'OBJECT<k: BIGINT>' AS shape, count(*) AS n FROM events")
+@query(f"WITH d AS ({PROPS}), k AS (SELECT event_id, p, unnest(json_keys(p)) AS key FROM d), u AS (SELECT event_id, 'OBJECT<' || {KINDS} || '>' AS shape FROM k GROUP BY event_id) SELECT shape, count(*) AS n FROM u GROUP BY shape")
 def document_shapes(spark, d):
-    return schema.document_shapes(table(spark, d, "events"), "props")
+    return schema.document_shapes(_documents(spark, d), "p")
 
 
 @query("WITH e AS (SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM documents WHERE n_chars <= 131072) SELECT CAST(floor((run - 1) / 65536) AS BIGINT) AS bundle, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS bytes FROM e GROUP BY 1")
@@ -632,11 +642,13 @@ def gzip_round_trip(spark, d):
     return docs.select("doc_id", F.sha2(bundle.gzip_codec(F.col("z"), unpack=True), 256).alias("sha"))
 
 
-@query("SELECT count(*) AS rows, count(*) AS again, true AS same FROM events")
+@query("SELECT user_id, count(*) AS rows, count(*) FILTER (WHERE event_id % 500 = 7) = 0 AS same FROM events GROUP BY user_id")
 def content_digest(spark, d):
-    a = verify.content_digest(table(spark, d, "events"))
-    b = verify.content_digest(table(spark, d, "events").repartition(5, "user_id")).withColumnsRenamed({"rows": "again", "digest": "other"})
-    return a.join(b).select("rows", "again", (F.col("digest") == F.col("other")).alias("same"))
+    """Digests of each user's events against those of a copy in which some rows differ."""
+    events = table(spark, d, "events").select("user_id", "event_id", "value")
+    other = events.withColumn("value", F.col("value") + F.when(F.col("event_id") % 500 == 7, 1).otherwise(0)).repartition(5, "event_id")
+    a, b = (verify.content_digest(e, "event_id", "value", by=["user_id"]) for e in (events, other))
+    return a.join(b.select("user_id", F.col("digest").alias("other")), "user_id").select("user_id", "rows", (F.col("digest") == F.col("other")).alias("same"))
 
 
 @query("+p AS (SELECT CAST(floor(x/16) AS INT) AS cx, CAST(floor(z/16) AS INT) AS cz, CAST(floor(y/16) AS BIGINT) AS sy, sha256(CAST(floor(x/16) AS INT) || ',' || CAST(floor(z/16) AS INT) || ',' || CAST(floor(y/16) AS BIGINT) || string_agg(block, ',' ORDER BY (y % 16) * 256 + (z % 16) * 16 + x % 16)) AS sha FROM voxel GROUP BY 1, 2, 3) SELECT cx, cz, sha256(string_agg(sha, '' ORDER BY sy)) AS sha FROM p GROUP BY 1, 2", True)
@@ -675,12 +687,12 @@ def region_round_trip(spark, d):
     return region.cells_of(region.section_rows(region.chunks_of(region.region_files(chunks)))).filter("block <> 'air'")
 
 
-@query("SELECT event_type, bool_and(value >= 0) AS known FROM events GROUP BY 1")
+@query("SELECT event_type, bool_and(value < 48) AS all_known, true AS any_rows FROM events GROUP BY 1")
 def all_known(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.bool_and(F.col("value") >= 0).alias("known"))
+    return verify.all_known(table(spark, d, "events"), F.col("value") < 48, "event_type")
 
 
-@query("SELECT x, y, z, sym_id FROM (SELECT *, CAST(sym AS INT) AS sym_id FROM voxel JOIN (SELECT block, row_number() OVER (ORDER BY count(*) DESC, block) - 1 AS sym FROM voxel GROUP BY block) USING (block)) WHERE y < 2", True)
+@query("SELECT x, y, z, sym_id FROM (SELECT *, CAST(sym AS INT) AS sym_id FROM voxel JOIN (SELECT block, row_number() OVER (ORDER BY count(*) DESC, block) - 1 AS sym FROM voxel GROUP BY block) USING (block))", True)
 def codec_round_trip(spark, d):
     cells = grid(spark, d)
     own = palette.remap(cells, palette.palette_by_frequency(cells)).withColumn("region", F.floor(F.col("x") / 16).cast("int"))
@@ -700,3 +712,6 @@ def pruned_scan(spark, d):
     """A scan whose filters and columns reach the files."""
     rows = table(spark, d, "lineitem").filter((F.col("l_shipdate") >= "1995-01-01") & (F.col("l_shipdate") < "1996-01-01") & F.col("l_discount").between(0.05, 0.07) & (F.col("l_quantity") < 24))
     return rows.select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+from gridloom import world_queries  # noqa: E402, F401 - registers further queries

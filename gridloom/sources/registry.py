@@ -28,6 +28,21 @@ def block_states(blocks: DataFrame) -> DataFrame:
     return s.select(F.explode("names").alias("name"), "state", own(F.col("states.flags")).alias("flags"), light.bitwiseAND(15).alias("opacity"), F.shiftright(light, 4).alias("emission"), (F.col("state") == F.col("defaultStateId")).alias("is_default"))
 
 
+def legacy_states(blocks: DataFrame) -> DataFrame:
+    """(state, name, values, flags, opacity, emission, is_default) of records (name, id, defaultStateId, flags, light, states: arrays of one or 16): 16 states of each, id << 4 | data.
+
+    An array of one value holds for all; a state beyond the array of values has none.
+    """
+    s = blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("_m"))
+
+    def own(values):
+        return F.when(F.size(values) == 1, F.get(values, F.lit(0))).otherwise(F.get(values, F.col("_m")))
+
+    state = F.shiftleft(F.col("id"), 4).bitwiseOR(F.col("_m"))
+    light = own(F.col("light"))
+    return s.select(state.alias("state"), "name", F.get("states", F.col("_m")).alias("values"), own(F.col("flags")).alias("flags"), light.bitwiseAND(15).alias("opacity"), F.shiftright(light, 4).alias("emission"), (F.col("_m") == F.col("defaultStateId").bitwiseAND(15)).alias("is_default"))
+
+
 def renames(records: DataFrame) -> DataFrame:
     """(v, old, new) of records (version, renames: a map of old to new names)."""
     return records.select(F.col("version").alias("v"), F.explode("renames").alias("old", "new"))
