@@ -195,7 +195,8 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_i
 
     ``path`` is a vocabulary of ranks (base64 token, blank, rank on each line), ``pattern`` the regular expression whose
     matches are encoded separately; special tokens are ordinary text.  Null texts count as empty, and empty texts have
-    no ids.  Repeated rows are kept; other columns are ignored, whatever their names.
+    no ids.  Long texts count whole, repeated rows and rows without doc_id are kept, an empty table gives an empty result, and
+    other columns are ignored, whatever their names.
     """
     return _mapped(docs, path, pattern, doc_id, text, lambda ids, raw: (ids, raw), {"ids": pa.binary(), "decoded": pa.binary()}, "ids binary, decoded binary")
 

@@ -373,7 +373,8 @@ def text_to_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """(doc_id, n_bytes, media binary): each whole text's UTF-8 bytes, with bytes 0 up to a positive multiple of 64, as baseline JPEG.
 
     Null texts are empty (64 bytes 0).  Payloads of more than 524,224 bytes take several images, one after the other.
-    Repeated rows and rows without doc_id are kept; other columns are ignored, whatever their names.
+    Repeated rows and rows without doc_id are kept; an empty table gives an empty result; other columns are ignored, whatever
+    their names.
     """
 
     def run(batches):

@@ -107,7 +107,9 @@ def best_fit(docs: DataFrame, capacity: int = 2048, shard_items: int = 20_000, c
 
     ``cluster`` names the duplicate cluster of a row (default: a hash of the text).  A bin is ``shard-number``.
     Null and empty texts have one piece of size 0.  A null source is a source of its own, and so is each null cluster.
-    Rows without doc_id and repeated rows are packed like any other.  Other columns are ignored, whatever their names.
+    Rows without doc_id and repeated rows are packed like any other; of items of one size the smaller doc_id comes first, then
+    the smaller piece.  Texts longer than a bin are cut, so their length has no limit; an empty table gives an empty result.
+    Other columns are ignored, whatever their names.
     """
     words = size if size is not None else F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(words, F.lit(0)).cast("long").alias("words"), (cluster if cluster is not None else F.xxhash64(F.coalesce(F.col(text), F.lit("")))).cast("long").alias("cluster"))

@@ -125,7 +125,24 @@ FROM r JOIN f ON r.host = f.host AND r.form = f.form JOIN g ON f.host = g.host A
 """
 
 
+#: Windows of 50 bytes as hex digits, cut from parts of 512 bytes and the 49 after them.
+_BYTES_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+ p AS (SELECT doc_id, unnest(range(n)) AS i, unnest(regexp_extract_all(h, '..')) AS x FROM d WHERE n > 0),
+ q AS (SELECT doc_id, i // 512 AS k, string_agg(x, '' ORDER BY i) AS part, min(i) AS first FROM p GROUP BY ALL),
+ r AS (SELECT doc_id, k, first, part || coalesce(substr(lead(part) OVER (PARTITION BY doc_id ORDER BY k), 1, 98), '') AS part FROM q),
+ g AS (SELECT doc_id, first + j AS i, substr(part, 2 * j + 1, 100) AS w FROM (SELECT doc_id, first, part, unnest(range(least(512, length(part) // 2 - 49))) AS j FROM r)),
+ m AS (SELECT w, min(doc_id) AS least FROM g GROUP BY w HAVING min(doc_id) < max(doc_id)),
+ f AS (SELECT DISTINCT doc_id, i FROM g JOIN m USING (w) WHERE doc_id > least),
+ u AS (SELECT p.doc_id, p.i, x, max(f.i) OVER (PARTITION BY p.doc_id ORDER BY p.i) AS last FROM p LEFT JOIN f ON p.doc_id = f.doc_id AND p.i = f.i),
+ t AS (SELECT doc_id, i, x, coalesce(i - last < 50, false) AS gone FROM u),
+ s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS starts FROM t),
+ a AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE starts) AS n_spans, string_agg(x, '' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM s GROUP BY doc_id)
+SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)
+"""
+
 ORACLE: dict[str, str] = {
+    "op1_suffix_array_dedup": _BYTES_SQL,
     "op4_substring_dedup": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
  g AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS p FROM d),

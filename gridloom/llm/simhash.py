@@ -173,6 +173,8 @@ def fingerprint_links(fps: DataFrame, max_distance: int = 3, run_limit: int = 40
         rows = out.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("mask"), F.col("x").alias("fp"))
         if rows.isEmpty():
             break
+    else:
+        raise RuntimeError("runs of a block could not be split")
     links = found[0]
     for more in found[1:]:
         links = links.union(more)
@@ -185,8 +187,9 @@ def simhash_near_duplicates(docs: DataFrame, shingle: int = 5, max_distance: int
     fingerprint: 16 hex digits of the SimHash of the word shingles.  Fingerprints that differ in at most
     ``max_distance`` bits are linked; component_id is the smallest doc_id reachable, itself included.
 
-    Null and empty texts have fingerprint zero.  Rows without doc_id have a fingerprint and join components but are
-    never a component_id (null where a component has no other rows).  Repeated rows are kept.
+    Null and empty texts have fingerprint zero, and are linked like any other.  Rows without doc_id have a fingerprint and
+    join components but are never a component_id (null where a component has no other rows).  Repeated rows are kept, long
+    texts count whole, an empty table gives an empty result, and other columns are ignored, whatever their names.
     """
     fps = c.checkpoint(fingerprints(docs, shingle, doc_id, text))
     own = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))

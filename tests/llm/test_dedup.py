@@ -174,14 +174,17 @@ def plain_components(fps, most):
 
 
 def test_simhash(spark):
-    rows = [r for r in awkward(2) if r[0] is not None]
-    got = simhash_near_duplicates(spark.createDataFrame(rows, SCHEMA), shingle=3).collect()
+    rows = [*awkward(2), (None, "no other row is like this one", None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("fingerprint", F.lit("clash")).withColumn("component_id", F.lit(-5))
+    got = simhash_near_duplicates(df, shingle=3).collect()
     fps = [plain_fingerprint(r[1]) for r in rows]
     root = plain_components(fps, 3)
     least: dict[int, int] = {}
     for r, k in zip(rows, root, strict=True):
-        least[k] = min(least.get(k, r[0]), r[0])
-    assert sorted(map(tuple, got)) == sorted((r[0], f"{f:016x}", least[k]) for r, f, k in zip(rows, fps, root, strict=True))
+        if r[0] is not None:  # a row without doc_id is never a component_id
+            least[k] = min(least.get(k, r[0]), r[0])
+    assert sorted(map(str, map(tuple, got))) == sorted(str((r[0], f"{f:016x}", least.get(k))) for r, f, k in zip(rows, fps, root, strict=True))
+    assert simhash_near_duplicates(df.filter("false")).count() == 0
 
 
 def test_native_hash_agrees(spark):

@@ -419,21 +419,24 @@ def test_media_query(spark):
 
 # -- byte-level BPE -----------------------------------------------------------------------------
 
-VOCABULARY = pytest.importorskip("public_tokenizers")
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return pytest.importorskip("public_tokenizers")
 
 
 @pytest.fixture(scope="module")
-def encoder():
-    return BytePairEncoder.load(VOCABULARY.path("byte_bpe_50k.tiktoken"), VOCABULARY.PATTERN)
+def encoder(vocabulary):
+    return BytePairEncoder.load(vocabulary.path("byte_bpe_50k.tiktoken"), vocabulary.PATTERN)
 
 
 @pytest.fixture(scope="module")
-def reference():
+def reference(vocabulary):
     import tiktoken
 
-    with open(VOCABULARY.path("byte_bpe_50k.tiktoken"), "rb") as f:
+    with open(vocabulary.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=VOCABULARY.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=vocabulary.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 @given(st.lists(st.text(max_size=60), max_size=5))
@@ -449,9 +452,9 @@ def test_bpe_long(encoder, reference):
         assert np.frombuffer(encoder.encode([t])[0], "<u4").tolist() == reference.encode_ordinary(t)
 
 
-def test_bpe_operator(spark, reference):
+def test_bpe_operator(spark, reference, vocabulary):
     rows = awkward(5)
-    got = encode_decode(spark.createDataFrame(rows, SCHEMA), VOCABULARY.path("byte_bpe_50k.tiktoken"), VOCABULARY.PATTERN).collect()
+    got = encode_decode(spark.createDataFrame(rows, SCHEMA), vocabulary.path("byte_bpe_50k.tiktoken"), vocabulary.PATTERN).collect()
     want = sorted((str(r[0]), np.array(reference.encode_ordinary(r[1] or ""), "<u4").tobytes(), (r[1] or "").encode()) for r in rows)
     assert sorted((str(r.doc_id), bytes(r.ids), bytes(r.decoded)) for r in got) == want
 
