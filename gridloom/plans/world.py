@@ -164,8 +164,7 @@ def pack(spark: SparkSession, source: str, target: str, preset: str | Preset = "
     bundle.pack_bundles(placed).write.mode("overwrite").parquet(f"{target}/bundles")
     filters.metadata_dropped(entries.filter("route = 'copy'"), OWN_FOLDER).select("path", "content").write.mode("overwrite").option("compression", "zstd").parquet(f"{target}/copies")
     spark.range(1).select(known.alias("known")).write.mode("overwrite").parquet(f"{target}/attributes")
-    steps = "" if not pipe.has(SimplifyUpgradeData) else "simplify_upgrade_data"
-    registry.write_metadata(spark, f"{target}/metadata", VERSION, VERSION, [own.codec, steps, own.transforms if transforms is None else transforms, add_transforms or ""])
+    registry.write_metadata(spark, f"{target}/metadata", VERSION, VERSION, [own.codec, own.transforms if transforms is None else transforms, add_transforms or ""])
     for part in ("_chunks", "_whole"):
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{part}")
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -215,8 +214,8 @@ def _packed_sections(spark: SparkSession, target: str, kind: str) -> DataFrame:
 
 def unpacked_regions(spark: SparkSession, target: str) -> DataFrame:
     """(path, content) of the region files of a packed world, with heights and light computed again."""
-    kind, steps = registry.read_metadata(spark, f"{target}/metadata", VERSION)["transforms"][:2]
-    upgrades = steps != ""
+    kind, *steps = registry.read_metadata(spark, f"{target}/metadata", VERSION)["transforms"]
+    upgrades = any(Pipe.parse(s).has(SimplifyUpgradeData) for s in steps)  # names that the registry doesn't know fail
     chunks = spark.read.parquet(f"{target}/chunks")
     known = spark.read.parquet(f"{target}/attributes")  # one row
     whole = chunks.join(_packed_sections(spark, target, kind), ["path", "place"], "left").crossJoin(known)
