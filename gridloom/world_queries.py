@@ -24,7 +24,8 @@ def scratch(spark: SparkSession) -> str:
     top = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if top is None and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{(top or tempfile.gettempdir()).removeprefix('file:').rstrip('/')}/gridloom-{uuid.uuid4().hex}"
+    folder = (top or tempfile.gettempdir()).removeprefix("file:").strip("/")
+    return f"/{folder}/gridloom-{uuid.uuid4().hex}"
 
 
 # -- chunks and worlds ---------------------------------------------------------------------------
