@@ -16,7 +16,7 @@ from gridloom.operators import codec, filters, heights, hidden, light, merge, ne
 from gridloom.plans import voxel, world
 from gridloom.plans.pipeline import Pipe
 from gridloom.queries import LIT, MX, OFF, _opacity, _text, grid, query, table
-from gridloom.sources import archive, nbt, region, registry
+from gridloom.sources import archive, nbt, packed, region, registry
 
 
 def scratch(spark: SparkSession) -> str:
@@ -196,6 +196,15 @@ def gzipped_tags(spark, d):
     return own.select("event_id", F.variant_get(nbt.to_variant(F.col("z")), "$.k", "int").alias("k"), names.is_gzip(F.col("z")).alias("gz"))
 
 
+@query("SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k, event_type AS t, user_id AS u FROM events")
+def packed_tags(spark, d):
+    """Documents of some thousand events packed with a dictionary of their own, and back."""
+    own = F.to_json(F.struct(F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"), F.col("event_type").alias("t"), F.col("user_id").alias("u"), F.lit(7).alias("c")))
+    documents = table(spark, d, "events").select("event_id", F.floor(F.col("event_id") / 4096).cast("int").alias("g"), nbt.from_json(own).alias("data"))
+    back = packed.unpack_documents(packed.pack_documents(documents, "g", "event_id"), "event_id").select("event_id", nbt.to_variant(F.col("data")).alias("v"))
+    return back.select("event_id", *(schema.extract(F.col("v"), f"$.{k}", t).alias(k) for k, t in (("k", "int"), ("t", "string"), ("u", "long"))))
+
+
 @query("SELECT event_id, '{' || chr(10) || '  \"k\": ' || regexp_extract(props, '([0-9]+)', 1) || chr(10) || '}' AS text FROM events")
 def tag_text(spark, d):
     return table(spark, d, "events").select("event_id", nbt.to_text(nbt.from_json("props")).alias("text"))

@@ -1,14 +1,17 @@
 import gzip
 import json
 import zipfile
+import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gridloom.operators import bundle
 from gridloom.plans import container
-from gridloom.sources import archive, nbt, region, registry
+from gridloom.sources import archive, nbt, packed, region, registry
 
 DOCUMENT = {"stringTest": "Tést 🙂", "intTest": -5, "doubleTest": 1.5, "big": 2**40, "listTest": [{"id": i, "name": f"n{i}", "seed": 2**33 + i} for i in range(4)], "ints": np.arange(5, dtype=np.int32), "longs": np.arange(3, dtype=np.int64), "raw": b"\0\xff", "none": []}
 ENTRIES = {"a.txt": "plain".encode(), "sub/ü.txt": "🙂\x01".encode(), "sub/zero.bin": bytes(1 << 20), "empty": b"", "z.gz": gzip.compress(b"inner" * 100, mtime=0)}
@@ -95,6 +98,28 @@ def test_archives(spark, tmp_path):
     assert {r.path: bytes(r.content) for r in archive.scan(spark, str(tmp_path / "b.zip")).collect()} == ENTRIES
 
 
+@given(st.recursive(
+    st.one_of(
+        st.integers(-(2**63), 2**63 - 1).map(lambda n: (nbt.LONG, n)), st.integers(0, 255).map(lambda n: (nbt.BYTE, n)), st.integers(-(2**15), 2**15 - 1).map(lambda n: (nbt.SHORT, n)),
+        st.floats(allow_nan=False).map(lambda x: (nbt.DOUBLE, x)), st.text(max_size=5).map(lambda s: (nbt.STRING, s)), st.binary(max_size=5).map(lambda b: (nbt.BYTES, b)),
+        st.lists(st.integers(-9, 9), max_size=4).map(lambda v: (nbt.LIST, (nbt.INT if v else nbt.END, v))), st.lists(st.integers(-9, 9), max_size=4).map(lambda v: (nbt.INTS, np.array(v, np.int32))),
+    ),
+    lambda inner: st.dictionaries(st.sampled_from("abc"), inner, max_size=3).map(lambda d: (nbt.COMPOUND, d)), max_leaves=8,
+))
+@settings(max_examples=150, deadline=None)
+def test_packed_tags(tag):
+    documents = [("", tag), ("x", (nbt.COMPOUND, {"a": tag, "b": (nbt.STRING, "again")})), ("", (nbt.COMPOUND, {"a": tag, "b": (nbt.STRING, "again")}))]
+    assert [nbt.write(t, n) for n, t in packed.unpack(packed.pack(documents))] == [nbt.write(t, n) for n, t in documents]
+
+
+def test_packed_tags_are_smaller():
+    documents = [("", nbt.of({"id": "minecraft:chest", "x": 1000 + i, "y": 64, "z": -5 * i, "Items": [{"Slot": k, "id": "stone", "Count": 1} for k in range(3)]})) for i in range(300)]
+    data = packed.pack(documents)
+    assert len(packed.unpack(data)) == 300 and len(data) < 0.8 * len(zlib.compress(b"".join(nbt.write(t, n) for n, t in documents), 6))
+    with pytest.raises(nbt.BadTag):
+        packed.unpack(zlib.compress(b"\x09"))
+
+
 def test_bundles():
     assert bundle.read_bundle(bundle.write_bundle([])) == []
     back = dict(bundle.read_bundle(bundle.write_bundle(list(ENTRIES.items()))))
