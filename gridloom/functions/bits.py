@@ -83,9 +83,9 @@ def sparse_get(words: Column, index: Column, bits: int) -> Column:
     return F.call_function("shiftrightunsigned", word, ((index % per) * bits).cast("int")).bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def sparse_unpack(words: Column, bits: int, count: int) -> Column:
+def sparse_unpack(words: Column, bits: int, count: Column) -> Column:
     """All ``count`` values of such words."""
-    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: sparse_get(words, i, bits))
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: sparse_get(words, i, bits))
 
 
 def byte_swap(v: Column, size: int) -> Column:

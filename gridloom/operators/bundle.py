@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.bits import unvarints, varints
 
-#: Bytes after which a bundle is closed; unpacked bytes from which a file stands alone.
-BUNDLE_BYTES, ALONE_BYTES = 4 << 20, 3 << 20
+#: Bytes after which a bundle is closed.
+BUNDLE_BYTES = 4 << 20
 #: Types of a bundle's entries.
 END, PLAIN, GZIPPED = 0, 1, 2
 

@@ -455,7 +455,7 @@ def varint_round_trip(spark, d):
 def bit_storage_round_trip(spark, d):
     lists = table(spark, d, "orders").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x % 512).alias("v"))
     nine, n = F.lit(9), F.size("v")
-    sparse = F.transform(F.sequence(F.lit(0), n - 1), lambda i: bits.sparse_get(F.col("p"), i, 9))
+    sparse = bits.sparse_unpack(F.col("p"), 9, n)
     packed = lists.select("o_custkey", "v", bits.bit_pack(F.col("v"), nine, True).alias("s"), bits.bit_pack(F.col("v"), nine, False).alias("p"))
     return packed.select("o_custkey", _text(bits.bit_unpack(F.col("s"), nine, n, True)).alias("spanning"), _text(sparse).alias("sparse"))
 
@@ -538,10 +538,10 @@ def light_pack(spark, d):
     return grid(spark, d).select("x", "y", "z", word.alias("packed"), geometry.light_parts(word)["opacity"].alias("opacity"))
 
 
-@query("SELECT p_partkey, CAST(((m & 21) << 1) | ((m & 42) >> 1) AS INT) AS opposite, CASE WHEN m & 3 <> 0 THEN 'X' WHEN m & 12 <> 0 THEN 'Z' WHEN m & 48 <> 0 THEN 'Y' END AS axis FROM (SELECT p_partkey, p_size & 63 AS m FROM part)")
+@query("SELECT p_partkey, CAST(((m & 21) << 1) | ((m & 42) >> 1) AS INT) AS opposite, CASE WHEN m & 3 <> 0 THEN 'X' WHEN m & 12 <> 0 THEN 'Z' WHEN m & 48 <> 0 THEN 'Y' END AS axis, CAST((m & 1) * 32 | (m & 2) * 8 | (m & 4) AS INT) AS moved FROM (SELECT p_partkey, p_size & 63 AS m FROM part)")
 def directions(spark, d):
     m = F.col("p_size").bitwiseAND(63)
-    return table(spark, d, "part").select("p_partkey", geometry.opposite(m).alias("opposite"), geometry.axis_of(m).alias("axis"))
+    return table(spark, d, "part").select("p_partkey", geometry.opposite(m).alias("opposite"), geometry.axis_of(m).alias("axis"), geometry.remap_mask(m, {1: 32, 2: 16, 4: 4}).alias("moved"))
 
 
 @query("SELECT o_orderkey, (o_orderkey << 8) | (o_custkey & 255) AS location, o_orderkey AS sector, o_custkey & 255 AS n, CAST(ceil(o_custkey / 4096.0) AS BIGINT) AS need FROM orders")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,7 +23,7 @@ from gridloom.sources import archive, nbt, packed, region, registry
 def scratch(spark: SparkSession) -> str:
     """A new folder below the shared one in spark.checkpoint.dir; a temporary one where that is unset and all runs on one machine."""
     top = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if top is None and not spark.sparkContext.master.startswith("local"):
+    if top is None and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     folder = (top or tempfile.gettempdir()).removeprefix("file:").strip("/")
     return f"/{folder}/gridloom-{uuid.uuid4().hex}"
