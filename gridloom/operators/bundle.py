@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.bits import unvarints, varints
+from gridloom.operators.ranges import with_range
 
 #: Bytes after which a bundle is closed.
 BUNDLE_BYTES = 4 << 20
@@ -23,13 +24,11 @@ def running_bundles(df: DataFrame, size: str, order: str, cap: int) -> DataFrame
     The running sum has two levels, so that no task sees all rows: rows fall into ranges of the order column, each
     range's sum is added up on its own, and ranges (as many as there are partitions) get the sums before them.
     """
-    spark = df.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(n, order).withColumn("_p", F.spark_partition_id())
+    ranged = with_range(df, order)
     local = ranged.withColumn("_run", F.sum(size).over(Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    totals = local.groupBy("_p").agg(F.max("_run").alias("_t"))
+    totals = ranged.groupBy("_p").agg(F.sum(size).alias("_t"))
     before = totals.withColumn("_before", F.coalesce(F.sum("_t").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
-    return local.join(before, "_p").withColumn("bundle", F.floor((F.col("_run") + F.col("_before") - 1) / cap).cast("long")).drop("_p", "_run", "_before")
+    return local.join(F.broadcast(before), "_p").withColumn("bundle", F.floor((F.col("_run") + F.col("_before") - 1) / cap).cast("long")).drop("_p", "_run", "_before")
 
 
 def next_fit(df: DataFrame, size: str, order: str, group: str, cap: int = BUNDLE_BYTES) -> DataFrame:

@@ -5,31 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.ranges import with_range
+
 #: Ids of a palette are below this.
 ID_LIMIT = 65535
 
 
+def _palette(symbols: DataFrame, *order: str | Column) -> DataFrame:
+    # a palette holds fewer than ID_LIMIT symbols, so one task numbers it
+    return symbols.withColumn("sym_id", (F.row_number().over(Window.orderBy(*order)) - 1).cast("int"))
+
+
 def numbered(rows: DataFrame, *order: str | Column, name: str = "sym_id", start: int = 0) -> DataFrame:
-    """The rows numbered in order, without a task that sees all of them: by ranges of the order, and the rows of the ranges before."""
-    keys = {f"_k{i}": F.col(k) if isinstance(k, str) else k for i, k in enumerate(order)}
-    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = rows.withColumns(keys).repartitionByRange(n, *keys).withColumn("_p", F.spark_partition_id())
-    own = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*keys)))
-    sizes = own.groupBy("_p").agg(F.max("_i").alias("_n"))
+    """The rows, however many, numbered in order without a task that sees all of them: by ranges of the order, and the rows of the ranges before."""
+    own = with_range(rows, *order)
+    sizes = own.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # as many rows as ranges
-    return own.join(F.broadcast(before), "_p").withColumn(name, (F.col("_i") + F.col("_b") + (start - 1)).cast("int")).drop("_p", "_i", "_b", *keys)
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return own.withColumn("_i", place).join(F.broadcast(before), "_p").withColumn(name, (F.col("_i") + F.col("_b") + (start - 1)).cast("int")).drop("_p", "_i", "_b")
 
 
 def palette_by_frequency(df: DataFrame, symbol: str = "block") -> DataFrame:
     """(symbol, n, sym_id): the most frequent symbol is 0, ties by the symbol."""
-    counts = df.groupBy(symbol).agg(F.count("*").alias("n"))
-    return numbered(counts, -F.col("n"), symbol)
+    return of_counts(df.groupBy(symbol).agg(F.count("*").alias("n")), symbol)
+
+
+def of_counts(counts: DataFrame, symbol: str = "block") -> DataFrame:
+    """The palette of symbols that are counted already (symbol, n)."""
+    return _palette(counts, F.desc("n"), symbol)
 
 
 def palette_first_seen(df: DataFrame, symbol: str, position: str) -> DataFrame:
     """(symbol, first, sym_id): symbols by the smallest position at which they stand."""
     first = df.groupBy(symbol).agg(F.min(position).alias("first"))
-    return numbered(first, "first")
+    return _palette(first, "first")
 
 
 def checked_palette(palette: DataFrame) -> DataFrame:

@@ -148,7 +148,7 @@ def pack(spark: SparkSession, source: str, target: str, preset: str | Preset = "
     chunks.drop("sections").write.mode("overwrite").parquet(f"{target}/chunks")
     # numbers of states by their frequency, from the sections' palettes: no cell is a row
     each = chunks.select("path", "place", F.explode("sections").alias("s")).select("path", "place", "s.sy", "s.palette", "s.ids")
-    names = palette.numbered(_state_counts(each).groupBy("block").agg(F.sum("n").alias("n")), -F.col("n"), "block")
+    names = palette.of_counts(_state_counts(each).groupBy("block").agg(F.sum("n").alias("n")))
     names.write.mode("overwrite").parquet(f"{target}/palette")
     numbers = each.select("path", "place", "sy", F.posexplode("palette").alias("k", "block")).join(spark.read.parquet(f"{target}/palette").select("block", "sym_id"), "block")
     numbers = numbers.groupBy("path", "place", "sy").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "sym_id"))), lambda x: x["sym_id"]).alias("numbers"))

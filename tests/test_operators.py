@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import bundle, filters, hidden, light, merge, verify
+from gridloom.operators import bundle, filters, hidden, light, merge, palette, verify
 from gridloom.plans.pipeline import PRESETS, Pipe, PredictIndices, keep_or_strip
 
 
@@ -90,6 +90,22 @@ def test_pipe_reverses(spark):
     assert [keep_or_strip("auto", k) for k in (True, False)] == ["strip", "keep"]
 
 
+def test_numbers_and_running_sums_over_ranges(spark):
+    """Many more rows than a sample of a range exchange holds: the numbers have no gap, the sums none either."""
+    df = spark.range(30_000).select(F.xxhash64("id").alias("k"), F.when(F.col("id") % 9 > 0, F.concat(F.lit("s"), F.col("id") % 5000)).alias("s"), (F.col("id") % 7).alias("n"))
+    orders = ((["k"], lambda r: r.k), (["s", "k"], lambda r: (r.s is not None, r.s or "", r.k)), ([-F.col("n"), "k"], lambda r: (-r.n, r.k)))
+    for order, key in orders:
+        got = palette.numbered(df, *order, name="i").collect()
+        assert sorted(r.i for r in got) == list(range(30_000))
+        keys = [key(r) for r in sorted(got, key=lambda r: r.i)]
+        assert keys == sorted(keys)
+    run, want = 0, {}
+    for r in sorted(df.collect(), key=lambda r: r.k):
+        run += r.n
+        want[r.k] = (run - 1) // 1000
+    assert {r.k: r.bundle for r in bundle.running_bundles(df, "n", "k", 1000).collect()} == want
+
+
 def test_digest_ignores_order_and_palette_numbers(spark):
     _, df = cells(spark)
     assert verify.content_digest(df).first() == verify.content_digest(df.orderBy(F.rand(1))).first()
