@@ -1,7 +1,10 @@
 """Queries over tables that are higher or longer than the driver's smallest: every row counts."""
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__  # noqa: F401  registers the queries over worlds too
 from gridloom import queries as q
 from gridloom.plans import voxel
 
@@ -39,3 +42,17 @@ def test_presence_grid(spark, tmp_path):
     events(spark, tmp_path, 32 * 1024 + 1)
     got = {(r.cx, r.cz, r.sy): r.present for r in q.QUERIES["presence_grid"](spark, str(tmp_path)).collect()}
     assert got == {(x, z, y): y < 2 or x == z == 0 for x in (0, 1) for z in (0, 1) for y in range(3)}
+
+
+@pytest.mark.parametrize("name", ["raw_sections"])
+def test_sections_above_a_byte(spark, tmp_path, name):
+    """Heights of sections that the format's byte can't hold."""
+    ids = [1024 * y + k for y in (0, 16 * 127 + 15, 16 * 128, 16 * 255 + 3, 16 * 256, 5859) for k in (0, 17, 1023)]
+    kinds = F.array(*map(F.lit, ("view", "click", "error", "purchase")))
+    rows = spark.createDataFrame([(i,) for i in ids], "event_id long").select("event_id", F.get(kinds, (F.col("event_id") % 4).cast("int")).alias("event_type"), (F.col("event_id") % 13).cast("double").alias("value"))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(q.ORACLE[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(q.QUERIES[name](spark, str(tmp_path)).select(*columns).collect()) == sorted(want.fetchall())
