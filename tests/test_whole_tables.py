@@ -44,7 +44,7 @@ def test_presence_grid(spark, tmp_path):
     assert got == {(x, z, y): y < 2 or x == z == 0 for x in (0, 1) for z in (0, 1) for y in range(3)}
 
 
-@pytest.mark.parametrize("name", ["raw_sections", "state_from_tags", "world_default", "legacy_round_trip", "region_round_trip"])
+@pytest.mark.parametrize("name", ["raw_sections", "state_from_tags", "world_default", "legacy_round_trip", "region_round_trip", "world_fast_renamed"])
 def test_sections_above_a_byte(spark, tmp_path, name):
     """Heights of sections that the format's byte can't hold."""
     ids = [1024 * y + k for y in (0, 16 * 127 + 15, 16 * 128, 16 * 255 + 3, 16 * 256, 5859) for k in (0, 17, 1023)]
