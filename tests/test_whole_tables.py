@@ -1,11 +1,13 @@
 """Queries over tables that are higher or longer than the driver's smallest: every row counts."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  registers the queries over worlds too
 from gridloom import queries as q
+from gridloom.operators import codec
 from gridloom.plans import voxel
 
 
@@ -56,3 +58,28 @@ def test_sections_above_a_byte(spark, tmp_path, name):
     want = con.execute(q.ORACLE[name])
     columns = [c[0] for c in want.description]
     assert sorted(q.QUERIES[name](spark, str(tmp_path)).select(*columns).collect()) == sorted(want.fetchall())
+
+
+def test_world_default_far_apart(spark, tmp_path):
+    """Keys with wide gaps: what lies between sections takes no memory."""
+    ids = [k * 1_000_000_007 + i for k in (0, 1, 59) for i in (0, 1023, 1024, 16400)]
+    rows = spark.createDataFrame([(i, ("view", "click", "error", "purchase")[i % 4], float(i % 13)) for i in ids], "event_id long, event_type string, value double")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    got = q.QUERIES["world_default"](spark, str(tmp_path)).select("x", "y", "z", "block").collect()
+    assert sorted(got) == sorted(voxel.voxels(rows).select("x", "y", "z", "block").collect())
+
+
+def test_code_of_far_sections(spark):
+    """Closed gaps leave the code as it is over the whole grid, and every cell comes back to its place."""
+    near = ((-1, 0, 0), (0, -1, 0), (0, -20, 0), (-17, 0, 2))
+    rows = [("r", x, y, z, 1 + (x * 7 + y * 5 + z * 3) % 6) for x in (3, 18, 19, 20, 400) for y in (-70, -3, 0, 17, 18, 37, 900) for z in (5, 6, 90)]
+    coded = codec.encode_regions(spark.createDataFrame(rows, "region string, x int, y long, z long, sym_id int"), "region", context_bits=6, neighbours=near)
+    r = coded.first()
+    assert (r.nx, r.ny, r.nz, r.x0, r.y0, r.z0) == (398, 971, 86, 3, -70, 5)
+    grid, mask = np.zeros((r.ny, r.nz, r.nx), np.int32), np.zeros((r.ny, r.nz, r.nx), bool)
+    for s in r.sections:
+        mask[tuple(slice(max(0, c * 16 - a), max(0, c * 16 + 16 - a)) for c, a in ((s.cy, r.y0), (s.cz, r.z0), (s.cx, r.x0)))] = True
+    for _, x, y, z, i in rows:
+        grid[y - r.y0, z - r.z0, x - r.x0] = i
+    assert codec.GridCodec(r.palette, 6, near).encode(grid, mask) == bytes(r.payload)
+    assert sorted(tuple(c) for c in codec.decode_regions(coded, "region").filter("sym_id > 0").collect()) == sorted(rows)
