@@ -70,6 +70,13 @@ def test_region_codecs_and_errors():
     assert list(region.read_chunks(b"")) == []
 
 
+def test_chunks_above_255_sectors():
+    """The table has one byte for the sectors of a chunk; longer ones come back whole, and so do those behind them."""
+    chunks = {0: np.random.default_rng(7).bytes(255 * region.SECTOR), 7: b"y" * 5000, 1023: bytes(3 << 20)}
+    for codec in (region.ZLIB, region.RAW):
+        assert {i: d for i, _, _, d in region.read_chunks(region.write_region(chunks, codec=codec))} == chunks
+
+
 def test_legacy_sections():
     section = {"Blocks": (nbt.BYTES, bytes([1] * 4096)), "Data": (nbt.BYTES, bytes([0x21] * 2048)), "Add": (nbt.BYTES, bytes([0x01] * 2048))}
     ids = region.legacy_ids(section)
